@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: What counts as a word wherever an operator splits on white space: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,23 +53,51 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def by_batch(df: DataFrame, names: list[str], fn: Callable[[list[list]], Iterable[Iterable]], schema: str | list[str]) -> DataFrame:
-    """fn over the lists of values of the named columns, Arrow batch by Arrow batch; it returns lists for the schema."""
-    types = _arrow(df.sparkSession, schema)
+#: Bytes of an input column that one call of a Python function gets at most, a longer value standing alone; Arrow batches from the JVM are bounded likewise.
+SLICE_BYTES, BATCH_BYTES = 4 << 20, 16 << 20
+
+
+def by_batch(df: DataFrame, names: list[str], fn: Callable[..., Iterable[Iterable]], schema: str) -> DataFrame:
+    """fn over lists of the named columns' values, some rows at a time; it returns a list for each column of the schema.
+
+    The rows of a call are bounded by the bytes of their values (SLICE_BYTES), so memory doesn't grow with the batch.
+    """
+    types = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols = fn([b.column(i).to_pylist() for i in range(b.num_columns)])
-            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(cols, types, strict=True)], schema=types)
+        for b in sliced(batches):
+            cols = fn(*(c.to_pylist() for c in b.columns))
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t.type) for x, t in zip(cols, types, strict=True)], schema=types)
 
+    bounded(df.sparkSession)
     return df.select(*names).mapInArrow(run, schema)
 
 
-def _arrow(spark: SparkSession, schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+def bounded(spark: SparkSession) -> None:
+    """Bounds the bytes of the Arrow batches that this session sends to Python, unless they are bounded closer already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if _bytes(spark.conf.get(key, "2147483647")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def _bytes(size: str) -> int:
+    number, unit = size.rstrip("bBkKmMgG"), size.lstrip("0123456789").lower()
+    return int(number) << {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30}[unit]
+
+
+def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sizes = np.full(b.num_rows, 16 * b.num_columns, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_list(c.type):
+                width = 4 if pa.types.is_list(c.type) else 1
+                sizes += np.diff(np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)) * width if len(c) else 0
+        for i, j in slices(sizes.tolist(), SLICE_BYTES):
+            yield b.slice(i, j - i)
+
 
-    return to_arrow_schema(StructType.fromDDL(schema), prefers_large_types=False)
+def _arrow(schema: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema))
 
 
 def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
