@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing
+from . import bpe, mixing, sharding
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(documents(spark, sf_dir))
 
@@ -26,5 +30,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op5_byte_bpe": op5_byte_bpe, "op10_mixing": op10_mixing}
-ORACLES = {"op10_mixing": mixing.ORACLE}
+QUERIES = {"op2_sharding": op2_sharding, "op5_byte_bpe": op5_byte_bpe, "op10_mixing": op10_mixing}
+ORACLES = {"op2_sharding": sharding.ORACLE, "op10_mixing": mixing.ORACLE}
