@@ -73,6 +73,19 @@ def by_batch(df: DataFrame, names: list[str], fn: Callable[..., Iterable[Iterabl
     return df.select(*names).mapInArrow(run, schema)
 
 
+def through(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
+    """df with the columns that fn makes of each batch's, under the same names and types, whatever these names are."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            yield pa.RecordBatch.from_arrays(fn(b), names=names)
+
+    bounded(df.sparkSession)
+    # Spark looks the columns up by name to send them, which fails for names with dots.
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, df.schema)
+
+
 def bounded(spark: SparkSession) -> None:
     """Bounds the bytes of the Arrow batches that this session sends to Python, unless they are bounded closer already."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

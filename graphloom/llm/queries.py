@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, sharding, tokenfile
+from . import bpe, mixing, pii, sharding, tokenfile
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,14 @@ def encoded(docs: DataFrame) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path))
 
 
+#: The key of the pseudonyms in these queries; a real run passes its own.
+SECRET = b"key of the registered queries"
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir), SECRET)
+
+
 def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = tokenfile.new_folder(spark)
     written = tokenfile.write(documents(spark, sf_dir), folder, public_tokenizers.path("word_bpe_49k.json"), 2)
@@ -36,5 +44,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op5_byte_bpe": op5_byte_bpe, "op8_token_file": op8_token_file, "op10_mixing": op10_mixing}
+QUERIES = {"op2_sharding": op2_sharding, "op5_byte_bpe": op5_byte_bpe, "op6_pii": op6_pii, "op8_token_file": op8_token_file, "op10_mixing": op10_mixing}
 ORACLES = {"op2_sharding": sharding.ORACLE, "op10_mixing": mixing.ORACLE}
