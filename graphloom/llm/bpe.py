@@ -6,13 +6,14 @@ import base64
 import hashlib
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, by_batch, col, partitions
+from .common import bounded, by_arrow, by_batch, col, lists, partitions, unlisted
 
 #: Code points of a chunk, and of the overlap in which two chunks must meet. A pre-token may look this far past its end.
 CHUNK, OVERLAP, AHEAD = 32_768, 1_024, 3
@@ -30,8 +31,17 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
 
 
 @lru_cache(maxsize=4)
-def raw(path: str) -> dict[int, bytes]:
-    return {rank: token for token, rank in ranks(path).items()}
+def raw(path: str) -> np.ndarray:
+    """Each rank's bytes; None for a rank that isn't there."""
+    out = np.full(max(ranks(path).values()) + 1, None, object)
+    for token, rank in ranks(path).items():
+        out[rank] = token
+    return out
+
+
+@lru_cache(maxsize=1)
+def _decimal(upto: int) -> np.ndarray:
+    return np.array([str(i) for i in range(upto)], object)
 
 
 def boundaries(body: str, pattern: str, ends: bool) -> list[int]:
@@ -79,11 +89,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     long = F.length("text") > chunk
     bounded(docs.sparkSession)
 
+    def ids_of(text: str) -> np.ndarray:
+        return np.array(encoding(ranks_path, pattern).encode_ordinary(text), np.int32)
+
     def whole(doc_id, text):
-        enc = encoding(ranks_path, pattern)
-        return doc_id, [enc.encode_ordinary(t) for t in text]
+        return doc_id, lists([ids_of(t) for t in text.to_pylist()])
 
-    short = by_batch(docs.where(~long), ["doc_id", "text"], whole, f"doc_id {id_type}, ids array<int>")
+    short = by_arrow(docs.where(~long), ["doc_id", "text"], whole, f"doc_id {id_type}, ids array<int>")
     parts = partitions(docs.sparkSession)
     texts = docs.where(long).select(F.sha2("text", 256).alias("digest"), "text").dropDuplicates(["digest"])
 
@@ -105,21 +117,21 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     cuts = cuts.withColumn("upto", F.lead("from").over(along)).withColumn("meets", F.col("from").isNotNull() & (F.col("last") | F.col("upto").isNotNull()))
 
     def encode_piece(digest, k, body, start, upto, meets):
-        enc, out = encoding(ranks_path, pattern), []
-        for i, b, s, u, m in zip(k, body, start, upto, meets, strict=True):
-            out.append(enc.encode_ordinary(b[s - i * chunk : None if u is None else u - i * chunk]) if m else None)
-        return digest, k, out
+        out = []
+        for i, b, s, u, m in zip(*(c.to_pylist() for c in (k, body, start, upto, meets)), strict=True):
+            out.append(ids_of(b[s - i * chunk : None if u is None else u - i * chunk]) if m else None)
+        return digest, k, lists(out)
 
-    pieces = by_batch(cuts.repartition(parts, "digest", "k"), ["digest", "k", "body", "from", "upto", "meets"], encode_piece, "digest string, k int, ids array<int>")
+    pieces = by_arrow(cuts.repartition(parts, "digest", "k"), ["digest", "k", "body", "from", "upto", "meets"], encode_piece, "digest string, k int, ids array<int>")
     pieces = pieces.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("p"), F.bool_and(F.col("ids").isNotNull()).alias("met"))
     stitched = pieces.select("digest", "met", F.when(F.col("met"), F.flatten(F.transform("p", lambda x: x["ids"]))).alias("ids"))
     mine = docs.where(long).select("doc_id", F.sha2("text", 256).alias("digest"), "text")
     mine = mine.join(stitched, "digest").select("doc_id", F.when(~F.col("met"), F.col("text")).alias("text"), "ids")
 
     def rest(doc_id, text, ids):
-        return doc_id, [i if t is None else encoding(ranks_path, pattern).encode_ordinary(t) for t, i in zip(text, ids, strict=True)]
+        return doc_id, lists([i if t is None else ids_of(t) for t, i in zip(text.to_pylist(), unlisted(ids), strict=True)])
 
-    return short.unionByName(by_batch(mine, ["doc_id", "text", "ids"], rest, f"doc_id {id_type}, ids array<int>"))
+    return short.unionByName(by_arrow(mine, ["doc_id", "text", "ids"], rest, f"doc_id {id_type}, ids array<int>"))
 
 
 def decode(tokens: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -127,24 +139,28 @@ def decode(tokens: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
     t = tokens.select(col(id_col).alias("doc_id"), col(ids_col).alias("ids"))
 
     def join(doc_id, ids):
-        return doc_id, ids, [decoded(i, ranks_path) for i in ids]
+        return doc_id, ids, [decoded(i, ranks_path) for i in unlisted(ids)]
 
-    return by_batch(t, ["doc_id", "ids"], join, f"doc_id {t.schema['doc_id'].dataType.simpleString()}, ids array<int>, bytes binary")
+    return by_arrow(t, ["doc_id", "ids"], join, f"doc_id {t.schema['doc_id'].dataType.simpleString()}, ids array<int>, bytes binary")
 
 
-def decoded(ids: list[int] | None, ranks_path: str) -> bytes | None:
+def decoded(ids: np.ndarray | None, ranks_path: str) -> bytes | None:
     table = raw(ranks_path)
-    try:
-        return None if ids is None else b"".join([table[i] for i in ids])
-    except KeyError:
+    if ids is None or len(ids) and not 0 <= ids.min() <= ids.max() < len(table):
         return None
+    tokens = table[ids].tolist()
+    return None if None in tokens else b"".join(tokens)
 
 
 def digests(decoded_tokens: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) from what decode() returns."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) from what decode() returns; both digests are null where its bytes are."""
     id_type = decoded_tokens.schema["doc_id"].dataType.simpleString()
 
     def digest(doc_id, ids, data):
-        return doc_id, [len(i) for i in ids], [hashlib.sha256(" ".join(map(str, i)).encode()).hexdigest() for i in ids], [hashlib.sha256(d).hexdigest() for d in data]
+        ids, data = unlisted(ids), data.to_pylist()
+        names = _decimal(1 << max(16, max((int(i.max(initial=0)) for i in ids if i is not None), default=0).bit_length()))
+        text = [None if d is None else " ".join(names[i].tolist()).encode() for i, d in zip(ids, data, strict=True)]
+        sha = lambda d: None if d is None else hashlib.sha256(d).hexdigest()
+        return doc_id, [None if i is None else len(i) for i in ids], list(map(sha, text)), list(map(sha, data))
 
-    return by_batch(decoded_tokens, ["doc_id", "ids", "bytes"], digest, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return by_arrow(decoded_tokens, ["doc_id", "ids", "bytes"], digest, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")

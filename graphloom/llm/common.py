@@ -57,8 +57,8 @@ def col(name: str) -> Column:
 SLICE_BYTES, BATCH_BYTES = 4 << 20, 16 << 20
 
 
-def by_batch(df: DataFrame, names: list[str], fn: Callable[..., Iterable[Iterable]], schema: str) -> DataFrame:
-    """fn over lists of the named columns' values, some rows at a time; it returns a list for each column of the schema.
+def by_arrow(df: DataFrame, names: list[str], fn: Callable[..., Iterable], schema: str) -> DataFrame:
+    """fn over Arrow arrays of the named columns, some rows at a time; it returns a list or array for each column of the schema.
 
     The rows of a call are bounded by the bytes of their values (SLICE_BYTES), so memory doesn't grow with the batch.
     """
@@ -66,13 +66,34 @@ def by_batch(df: DataFrame, names: list[str], fn: Callable[..., Iterable[Iterabl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            cols = fn(*(c.to_pylist() for c in b.columns))
+            cols = fn(*b.columns)
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t.type) for x, t in zip(cols, types, strict=True)], schema=types)
 
     bounded(df.sparkSession)
     return df.select(*names).mapInArrow(run, schema)
 
 
+def by_batch(df: DataFrame, names: list[str], fn: Callable[..., Iterable], schema: str) -> DataFrame:
+    """The same with fn over Python lists of values."""
+    return by_arrow(df, names, lambda *cols: fn(*(c.to_pylist() for c in cols)), schema)
+
+
+def lists(rows: list, kind: pa.DataType = pa.int32()) -> pa.ListArray:
+    """Arrays of numbers as one column; a None is a null."""
+    sizes = np.array([0] + [0 if r is None else len(r) for r in rows], np.int64).cumsum().astype(np.int32)
+    full = [r for r in rows if r is not None and len(r)]
+    values = pa.array(np.concatenate(full).astype(kind.to_pandas_dtype(), copy=False) if full else [], kind)
+    mask = pa.array([r is None for r in rows], pa.bool_()) if len(full) < len(rows) else None
+    return pa.ListArray.from_arrays(pa.array(sizes), values, mask=mask)
+
+
+def unlisted(column: pa.ListArray) -> list:
+    """The same column's arrays as views in numpy; None for a null."""
+    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    full = column.is_valid().to_pylist()
+    return [values[i:j] if k else None for i, j, k in zip(at[:-1].tolist(), at[1:].tolist(), full, strict=True)]
+
+
 def through(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
     """df with the columns that fn makes of each batch's, under the same names and types, whatever these names are."""
     names = df.columns
