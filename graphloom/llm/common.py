@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -31,9 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and stored in the shared folder, so that later reads survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df computed once and stored as a table in the shared folder, so that later reads survive lost executors.
+
+    A table rather than checkpoint(): a checkpoint keeps the constraints that the optimiser has found, which grow with
+    every join of a loop, until planning takes longer than the work.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:

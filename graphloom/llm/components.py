@@ -1,0 +1,39 @@
+"""Connected components of links between numbers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut
+
+#: More rounds than any input needs: the groups halve in each.
+_MOST = 60
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """(node, group) for each node of links (a, b): the smallest node that it is connected with.
+
+    In a round each group that has a smaller neighbour goes under the smallest one; pointers are then followed, two
+    steps in one, until all end at a group that goes under none. Links inside a group are dropped and the rest become
+    links of groups, of which at most half are left. Every round aggregates by node before it joins, and what a later
+    round reads is stored in the shared folder. A group of a third of all nodes is a value in a column, not a list.
+    """
+    links = links.select(F.col("a").alias("x"), F.col("b").alias("y")).where("x != y")
+    point = cut(links.select(F.col("x").alias("node")).union(links.select("y")).distinct().withColumn("group", F.col("node")))
+    left = links
+    for _ in range(_MOST):
+        # Links as links of groups.
+        left = left.join(point.toDF("x", "gx"), "x").join(point.toDF("y", "gy"), "y").where("gx != gy")
+        left = cut(left.select(F.least("gx", "gy").alias("x"), F.greatest("gx", "gy").alias("y")).distinct())
+        if left.isEmpty():
+            return point
+        # Each group goes under the smallest of its neighbours; smaller ones are never put under larger ones, so there is no circle.
+        under = left.groupBy("y").agg(F.min("x").alias("to"))
+        under, moving = cut(under.toDF("g", "to")), True
+        while moving:
+            up = under.toDF("to", "up")
+            under = cut(under.join(up, "to", "left").select("g", F.coalesce("up", "to").alias("to"), F.col("up").isNotNull().alias("moved")))
+            moving, under = not under.where("moved").isEmpty(), under.select("g", "to")
+        point = cut(point.join(under, point["group"] == under["g"], "left").select("node", F.coalesce("to", "group").alias("group")))
+    raise RuntimeError("components did not settle")

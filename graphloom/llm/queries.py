@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, pii, sharding, tokenfile
+from . import bpe, mixing, pii, sharding, simhash, tokenfile
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(documents(spark, sf_dir))
 
@@ -44,5 +48,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op5_byte_bpe": op5_byte_bpe, "op6_pii": op6_pii, "op8_token_file": op8_token_file, "op10_mixing": op10_mixing}
+QUERIES = {"op2_sharding": op2_sharding, "op3_simhash": op3_simhash, "op5_byte_bpe": op5_byte_bpe, "op6_pii": op6_pii, "op8_token_file": op8_token_file, "op10_mixing": op10_mixing}
 ORACLES = {"op2_sharding": sharding.ORACLE, "op10_mixing": mixing.ORACLE}
