@@ -8,7 +8,6 @@ length in tokens, 24 bytes each, so that a reader can take any record of any fil
 
 from __future__ import annotations
 
-import io
 import struct
 import uuid
 import zlib
@@ -103,25 +102,65 @@ def crc32c(data: bytes) -> int:
     return int(c[0]) ^ 0xFFFFFFFF
 
 
-def masked(crc: int) -> int:
-    return ((crc >> 15 | crc << 17) + _MASK) & 0xFFFFFFFF
+def crc32c_many(items: list[bytes]) -> list[int]:
+    """CRC-32C of each item; items of about the same length go through numpy side by side."""
+    out, sizes = [0] * len(items), np.fromiter(map(len, items), np.int64, len(items))
+    order = np.argsort(sizes, kind="stable").tolist()
+    at = 0
+    while at < len(order):
+        least = int(sizes[order[at]])
+        most, end = min(max(2 * least, 64), 1 << 16), at + 1
+        while end < len(order) and sizes[order[end]] <= most and (end - at) * sizes[order[end]] < 8 << 20:
+            end += 1
+        group = order[at:end]
+        if end - at < 16 or least < 8:
+            for i in group:
+                out[i] = crc32c(items[i])
+        else:
+            # Zero bytes in front leave a zero state as it is; the state's start is laid over the first four bytes.
+            width = int(sizes[group[-1]])
+            grid = np.frombuffer(b"".join([items[i].rjust(width, b"\0") for i in group]), np.uint8).reshape(len(group), width).T.copy()
+            rows, start = np.arange(len(group)), width - sizes[group]
+            for k in range(4):
+                grid[start + k, rows] ^= 255
+            c = np.zeros(len(group), np.uint32)
+            for j in range(width):
+                c = _T[(c ^ grid[j]) & 255] ^ (c >> 8)
+            for i, x in zip(group, (c ^ np.uint32(0xFFFFFFFF)).tolist(), strict=True):
+                out[i] = x
+        at = end
+    return out
 
 
-def framed(data: bytes) -> bytes:
-    head = struct.pack("<Q", len(data))
-    return head + struct.pack("<I", masked(crc32c(head))) + data + struct.pack("<I", masked(crc32c(data)))
+def masked(crc: int) -> int:
+    return ((crc >> 15 | crc << 17) + _MASK) & 0xFFFFFFFF
 
 
-def unframed(f, at: int) -> bytes:
-    """The data of the record that starts there; ValueError if a checksum doesn't fit."""
-    f.seek(at)
-    head = f.read(12)
-    if len(head) < 12 or struct.unpack("<I", head[8:])[0] != masked(crc32c(head[:8])):
-        raise ValueError(f"bad record length at {at}")
-    data = f.read(struct.unpack("<Q", head[:8])[0] + 4)
-    if struct.unpack("<I", data[-4:])[0] != masked(crc32c(data[:-4])):
-        raise ValueError(f"bad record data at {at}")
-    return data[:-4]
+def framed(data: list[bytes]) -> list[bytes]:
+    """Each item as a record."""
+    heads = [struct.pack("<Q", len(d)) for d in data]
+    sums = zip(heads, data, crc32c_many(heads), crc32c_many(data), strict=True)
+    return [h + struct.pack("<I", masked(a)) + d + struct.pack("<I", masked(b)) for h, d, a, b in sums]
+
+
+def unframed(buffer: bytes, places: list[int]) -> list[bytes]:
+    """The data of the records that start at these places; ValueError if a length or checksum doesn't fit."""
+    heads, data, sums = [], [], []
+    for at in places:
+        head = buffer[at : at + 12]
+        if len(head) < 12:
+            raise ValueError(f"no record at {at}")
+        n = struct.unpack_from("<Q", head)[0]
+        end = at + 12 + n
+        if end + 4 > len(buffer):
+            raise ValueError(f"bad record length at {at}")
+        heads.append(head[:8])
+        data.append(buffer[at + 12 : end])
+        sums.append((struct.unpack_from("<I", head, 8)[0], struct.unpack_from("<I", buffer, end)[0]))
+    for at, (a, b), x, y in zip(places, sums, crc32c_many(heads), crc32c_many(data), strict=True):
+        if a != masked(x) or b != masked(y):
+            raise ValueError(f"bad record at {at}")
+    return data
 
 
 def packed(doc_id: int | None, ids: np.ndarray, wide: bool) -> bytes:
@@ -164,12 +203,12 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col
         index, at, before = [], 0, 0
         with fs.open_output_stream(temp) as out:
             for b in sliced(batches):
-                for doc_id, ids in zip(b.column(0).to_pylist(), encode_words(b.column(1).to_pylist(), tokenizer_path), strict=True):
-                    ids = np.append(ids, end_id)
-                    index.append((at, before, len(ids)))
-                    record = framed(packed(doc_id, ids, wide))
-                    out.write(record)
-                    at, before = at + len(record), before + len(ids)
+                ids = [np.append(i, end_id) for i in encode_words(b.column(1).to_pylist(), tokenizer_path)]
+                records = framed([packed(k, i, wide) for k, i in zip(b.column(0).to_pylist(), ids, strict=True)])
+                for record, i in zip(records, ids, strict=True):
+                    index.append((at, before, len(i)))
+                    at, before = at + len(record), before + len(i)
+                out.write(b"".join(records))
         if index:
             with fs.open_output_stream(f"{temp}.idx") as out:
                 out.write(np.array(index, _INDEX).tobytes())
@@ -210,10 +249,10 @@ def read(spark, folder: str, written: list[tuple[int, int, int]], wide: bool = F
                 with fs.open_input_file(f"{base}/part-{file:06d}.rec") as f:
                     here = int(index["at"][0])
                     f.seek(here)
-                    records = io.BytesIO(f.read(int(index["at"][last - first]) - here if len(index) > last - first else None))
-                rows = []
-                for at, before, n in index[: last - first].tolist():
-                    doc_id, ids = unpacked(unframed(records, at - here), wide)
+                    records = f.read(int(index["at"][last - first]) - here if len(index) > last - first else None)
+                rows, index = [], index[: last - first]
+                for (at, before, n), data in zip(index.tolist(), unframed(records, (index["at"].astype(np.int64) - here).tolist()), strict=True):
+                    doc_id, ids = unpacked(data, wide)
                     if n != len(ids):
                         raise ValueError(f"index and record differ at {at} of file {file}")
                     rows.append((doc_id, start + before, n, zlib.crc32(ids.astype("<u4").tobytes())))
@@ -232,9 +271,10 @@ def shuffled(folder: str, files: list[int], seed: int, wide: bool = False) -> It
         k = bisect_right(ends, i) - 1
         with fs.open_input_file(f"{base}/part-{files[k]:06d}.idx") as f:
             f.seek((i - ends[k]) * _INDEX.itemsize)
-            at = int(np.frombuffer(f.read(_INDEX.itemsize), _INDEX)["at"][0])
+            at = np.frombuffer(f.read(2 * _INDEX.itemsize), _INDEX)["at"].tolist()
         with fs.open_input_file(f"{base}/part-{files[k]:06d}.rec") as f:
-            yield unpacked(unframed(f, at), wide)
+            f.seek(at[0])
+            yield unpacked(unframed(f.read(at[1] - at[0] if len(at) > 1 else None), [0])[0], wide)
 
 
 def new_folder(spark) -> str:

@@ -1,4 +1,3 @@
-import io
 import random
 import zlib
 
@@ -29,14 +28,20 @@ def test_checksum():
         assert tokenfile.crc32c(data) == slow_crc32c(data)
 
 
+def test_many_checksums():
+    rng = random.Random(3)
+    items = [rng.randbytes(n) for n in [0, 1, 5, 9] * 9 + [8] * 40 + list(range(20, 400, 3)) + [70_000, 66_000]]
+    assert tokenfile.crc32c_many(items) == [tokenfile.crc32c(x) for x in items]
+
+
 def test_frames_notice_damage():
-    data = tokenfile.framed(b"x" * 90)
-    assert tokenfile.unframed(io.BytesIO(b"??" + data), 2) == b"x" * 90
+    data = tokenfile.framed([b"x" * 90])[0]
+    assert tokenfile.unframed(b"??" + data, [2]) == [b"x" * 90]
     for i in (0, 9, 40, len(data) - 1):
         bad = bytearray(data)
         bad[i] ^= 4
         with pytest.raises(ValueError):
-            tokenfile.unframed(io.BytesIO(bytes(bad)), 0)
+            tokenfile.unframed(bytes(bad), [0])
 
 
 TEXTS = [None, "", "Hello, World. it's  DON'T\n\nstop... 3.5", "naïve Ça Σίσυφος ΟΔΟΣ Ȧ́", "a.b, c.\t., .", "<|endoftext|> x", "İstanbul ﬁ ½ 12ab", "日本語 text. end", "word " * 2000, "\x1c a\x0bb"]
