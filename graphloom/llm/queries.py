@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, pii, sharding, simhash, tokenfile
+from . import bpe, gif, mixing, pii, sharding, simhash, tokenfile
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir), SECRET)
 
 
+def op7_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.features(gif.stored(documents(spark, sf_dir)))
+
+
 def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = tokenfile.new_folder(spark)
     written = tokenfile.write(documents(spark, sf_dir), folder, public_tokenizers.path("word_bpe_49k.json"), 2)
@@ -48,5 +52,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op3_simhash": op3_simhash, "op5_byte_bpe": op5_byte_bpe, "op6_pii": op6_pii, "op8_token_file": op8_token_file, "op10_mixing": op10_mixing}
+QUERIES = {"op2_sharding": op2_sharding, "op3_simhash": op3_simhash, "op5_byte_bpe": op5_byte_bpe, "op6_pii": op6_pii, "op7_gif": op7_gif, "op8_token_file": op8_token_file, "op10_mixing": op10_mixing}
 ORACLES = {"op2_sharding": sharding.ORACLE, "op10_mixing": mixing.ORACLE}
