@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, gif, mixing, pii, sharding, simhash, tokenfile
+from . import bpe, gif, langid, mixing, pii, sharding, simhash, tokenfile
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,9 +49,19 @@ def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, folder, written)
 
 
+def language_model(docs: DataFrame) -> langid.Model:
+    return langid.train(docs.where(langid.remainder(F.col("doc_id"), 4) != 2))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = langid.identify(docs, language_model(docs))
+    return found.select("doc_id", (langid.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op3_simhash": op3_simhash, "op5_byte_bpe": op5_byte_bpe, "op6_pii": op6_pii, "op7_gif": op7_gif, "op8_token_file": op8_token_file, "op10_mixing": op10_mixing}
+QUERIES = {"op2_sharding": op2_sharding, "op3_simhash": op3_simhash, "op5_byte_bpe": op5_byte_bpe, "op6_pii": op6_pii, "op7_gif": op7_gif, "op8_token_file": op8_token_file, "op9_language_id": op9_language_id, "op10_mixing": op10_mixing}
 ORACLES = {"op2_sharding": sharding.ORACLE, "op10_mixing": mixing.ORACLE}
