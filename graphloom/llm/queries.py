@@ -6,13 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gif, langid, mixing, pii, sharding, simhash, tokenfile
+from . import bpe, gif, langid, mixing, pii, sharding, simhash, tokenfile, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    held = langid.remainder(F.col("doc_id"), 5) == 0
+    model = toxicity.train(docs.where(~held).select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
@@ -63,5 +71,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op3_simhash": op3_simhash, "op5_byte_bpe": op5_byte_bpe, "op6_pii": op6_pii, "op7_gif": op7_gif, "op8_token_file": op8_token_file, "op9_language_id": op9_language_id, "op10_mixing": op10_mixing}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_sharding": op2_sharding, "op3_simhash": op3_simhash, "op5_byte_bpe": op5_byte_bpe, "op6_pii": op6_pii, "op7_gif": op7_gif, "op8_token_file": op8_token_file, "op9_language_id": op9_language_id, "op10_mixing": op10_mixing}
 ORACLES = {"op2_sharding": sharding.ORACLE, "op10_mixing": mixing.ORACLE}

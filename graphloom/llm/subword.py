@@ -96,8 +96,8 @@ class Embeddings:
         self.w = np.zeros((classes, dim), np.float32)
         self.b = np.zeros(classes, np.float32)
 
-    def step(self, ids: np.ndarray, counts: np.ndarray, label: int, rate: float) -> None:
-        share = (counts / max(counts.sum(), 1)).astype(np.float32)
+    def step(self, ids: np.ndarray, counts: np.ndarray, label: int, rate: float, total: int = 0) -> None:
+        share = (counts / (total or max(counts.sum(), 1))).astype(np.float32)
         mean = share @ self.e[ids]
         p = softmax(self.w @ mean + self.b)
         p[label] -= 1
