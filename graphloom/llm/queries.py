@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gif, langid, mixing, pii, sharding, simhash, tokenfile, toxicity
+from . import bpe, gif, langid, mixing, pii, quality, sharding, simhash, tokenfile, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(documents(spark, sf_dir))
 
@@ -71,5 +75,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_sharding": op2_sharding, "op3_simhash": op3_simhash, "op5_byte_bpe": op5_byte_bpe, "op6_pii": op6_pii, "op7_gif": op7_gif, "op8_token_file": op8_token_file, "op9_language_id": op9_language_id, "op10_mixing": op10_mixing}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_sharding": op2_sharding, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op5_byte_bpe": op5_byte_bpe, "op6_pii": op6_pii, "op7_gif": op7_gif, "op8_token_file": op8_token_file, "op9_language_id": op9_language_id, "op10_mixing": op10_mixing}
 ORACLES = {"op2_sharding": sharding.ORACLE, "op10_mixing": mixing.ORACLE}
