@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
 
@@ -9,15 +10,19 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Words a process remembers; beyond, it starts anew (which changes no result).
-WORDS = 600_000
-#: A lower-case letter, one mark and white space: the tokenizer splits before the mark anyway.
-_MARK = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
+WORDS = 1_200_000
+#: A lower-case letter, ASCII marks and white space: the tokenizer splits before the marks anyway.
+_MARK = re.compile(rb"(?<=[a-z])([!-/:-@\[-`{-~]+)(?=[ \n])")
+#: Letters below this stay one letter when composed and lower-cased.
+_LATIN = "\u0130"
 #: Words that go to the tokenizer in one string.
 _TOGETHER = 128
 
 
 @lru_cache(maxsize=2)
 def _loaded(path: str) -> tuple[Tokenizer, np.ndarray, dict[bytes, bytes]]:
+    # A task has one core: the library's threads would only get in each other's way.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
     ends = np.zeros(t.get_vocab_size() + 1, bool)
@@ -30,7 +35,7 @@ def encode_words(texts: list[str | None], path: str) -> list[np.ndarray]:
     """The ids of each whole text, without special tokens, as the tokenizer gives them.
 
     The tokenizer splits at white space and lowers case, so a text's ids are those of its words in a row. Plain words
-    of a-z are encoded in long strings and cut apart after each token that ends a word; others go one by one.
+    of Latin letters are encoded in long strings and cut apart after each token that ends a word; others go one by one.
     """
     tokenizer, ends, known = _loaded(path)
     split = [_MARK.sub(rb" \1", (t or "").encode().lower()).split() for t in texts]
@@ -38,7 +43,10 @@ def encode_words(texts: list[str | None], path: str) -> list[np.ndarray]:
     if len(known) + len(new) > WORDS:
         known.clear()
         new = list(set().union(*split))
-    plain = [w for w in new if w.isalpha() and w.isascii()]
+    plain, other = [], []
+    for w in new:
+        word = w.decode()
+        (plain if word.isalpha() and max(word) < _LATIN else other).append(w)
     groups = [plain[i : i + _TOGETHER] for i in range(0, len(plain), _TOGETHER)]
     for group, e in zip(groups, tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
         ids = np.array(e.ids, np.uint32)
@@ -46,7 +54,6 @@ def encode_words(texts: list[str | None], path: str) -> list[np.ndarray]:
         at = [0, *(4 * cuts).tolist(), 4 * len(ids)]
         data = ids.tobytes()
         known.update((w, data[i:j]) for w, i, j in zip(group, at[:-1], at[1:], strict=True))
-    other = [w for w in new if not (w.isalpha() and w.isascii())]
     for w, e in zip(other, tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False), strict=True):
         known[w] = np.array(e.ids, np.uint32).tobytes()
     return [np.frombuffer(b"".join([known[w] for w in words]), np.uint32) for words in split]
