@@ -88,7 +88,7 @@ def hashed(codes_: np.ndarray, order: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Level:
-    """The n-grams of one order that occur: sorted hashes, log-probabilities; and their log-weights as contexts of the next order."""
+    """The n-grams of one order that occur, by themselves or as contexts: sorted hashes, log-probabilities; and their log-weights as contexts of the next order."""
 
     hashes: np.ndarray
     logp: np.ndarray
@@ -134,8 +134,11 @@ def estimate(code: np.ndarray, n: np.ndarray, order: int = ORDER) -> list[Level]
         p = own + rest * (lower if k == 1 else np.resize(lower.reshape(-1, base), c.shape))
         lower = p.reshape(-1)
         weights.append(np.log(rest[:, 0]))
-        # All single symbols are stored, as there is no lower order to fall back to.
-        levels.append((np.nonzero(table)[0] if k > 1 else np.arange(base), np.log(np.maximum(lower, 1e-300))))
+        # Besides what occurs: all single symbols, as there is no lower order, and what occurs as a context alone (a text's start).
+        stored = table > 0 if k > 1 else np.ones(base, bool)
+        if k < order:
+            stored |= tables[k].reshape(-1, base).any(axis=1)
+        levels.append((np.nonzero(stored)[0], np.log(np.maximum(lower, 1e-300))))
     out = []
     for k, (seen, logp) in enumerate(levels, 1):
         h = hashed(seen, k)
