@@ -64,4 +64,4 @@ def _sweep(graph: Graph, n: int, iterations: int) -> DataFrame:
         return pd.DataFrame({"id": ids, "part": part.astype(np.int32)})
 
     rows = graph.merged().select("src", "dst", "m").union(graph.vertices.select("id", F.lit(None).cast("long"), F.lit(0).cast("long")))
-    return rows.groupBy(F.lit(0)).applyInPandas(run, "id long, part int")
+    return rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "id long, part int")

@@ -37,12 +37,12 @@ def chain(words: DataFrame, order: list[str], value: str, start: int = OFFSET) -
     def run(batches):
         h, n = start, 0
         for pdf in batches:
-            for x in pdf[value].to_numpy(np.uint64, na_value=0).tolist() if len(pdf) else ():
+            for x in pdf["_word"].to_numpy(np.uint64).tolist():
                 h = (h ^ x) * PRIME & _ALL
             n += len(pdf)
         yield pd.DataFrame({"h": [str(h)], "n": [n]})
 
-    rows = words.select(*order, value).repartition(1).sortWithinPartitions(*order).mapInPandas(run, "h string, n long").collect()
+    rows = words.select(*order, F.col(value).alias("_word")).repartition(1).sortWithinPartitions(*order).mapInPandas(run, "h string, n long").collect()
     return int(rows[0]["h"]) if rows else start
 
 
