@@ -58,17 +58,20 @@ def lzw_decode(data: bytes, bits: int, most: int) -> bytes:
             table, last = list(roots), b""
             continue
         words = []
+        size, add, emit = len(table), table.append, words.append
         for code in codes:
-            if code < len(table):
+            if code < size:
                 word = table[code]
-                if last and len(table) < _FULL:
-                    table.append(last + word[:1])
-            elif last and code == len(table) < _FULL:
+                if last and size < _FULL:
+                    add(last + word[:1])
+                    size += 1
+            elif last and code == size < _FULL:
                 word = last + last[:1]
-                table.append(word)
+                add(word)
+                size += 1
             else:
                 raise ValueError("a code that is not in the table yet")
-            words.append(word)
+            emit(word)
             last = word
         out.append(b"".join(words))
         total += len(out[-1])
@@ -80,27 +83,29 @@ def lzw_decode(data: bytes, bits: int, most: int) -> bytes:
 def lzw_encode(data: bytes, bits: int = 8) -> bytes:
     """The code stream of palette indexes, with a clear code first and whenever the table is full."""
     clear = 1 << bits
-    room = _FULL - clear - 2
+    first = clear + 2
     runs: list[list[int]] = []
-    known: dict[int, int] = {}
     codes: list[int] = []
-    code = -1
-    for sample in data:
-        if code < 0:
-            code = sample
-            continue
+    known: dict[int, int] = {}
+    # Bound once a table, as this loop runs for every sample.
+    get, add, new = known.get, codes.append, first
+    rest = iter(data)
+    code = next(rest, -1)
+    for sample in rest:
         pair = code << 8 | sample
-        longer = known.get(pair)
+        longer = get(pair)
         if longer is not None:
             code = longer
             continue
-        codes.append(code)
+        add(code)
         code = sample
-        if len(known) < room:
-            known[pair] = clear + 2 + len(known)
+        if new < _FULL:
+            known[pair] = new
+            new += 1
         else:
             runs.append(codes)
             known, codes = {}, []
+            get, add, new = known.get, codes.append, first
     if code >= 0:
         codes.append(code)
     runs.append(codes)
