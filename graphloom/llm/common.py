@@ -60,7 +60,7 @@ def col(name: str) -> Column:
 
 
 #: Bytes of an input column that one call of a Python function gets at most, a longer value standing alone; Arrow batches from the JVM are bounded likewise.
-SLICE_BYTES, BATCH_BYTES = 4 << 20, 16 << 20
+SLICE_BYTES, BATCH_BYTES = 2 << 20, 8 << 20
 
 
 def by_arrow(df: DataFrame, names: list[str], fn: Callable[..., Iterable], schema: str) -> DataFrame:
