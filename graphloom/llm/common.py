@@ -1,9 +1,7 @@
-"""What the operators share: checkpoints, free column names and Arrow batches."""
+"""What the operators share: stored results, free column names and Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,33 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: What counts as a word wherever an operator splits on white space: runs of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or (only where it is unset, as in tests) a new local one."""
-    sc = spark.sparkContext
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(found)
-        return found
-    if (found := sc.getCheckpointDir()) is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(found := tempfile.mkdtemp(prefix="graphloom-"))
-    return found
+from ..plans.store import shared_dir
+from ..plans.store import stored as cut
 
+__all__ = ["bounded", "by_arrow", "by_batch", "col", "cut", "fresh", "lists", "partitions", "shared_dir", "sliced", "slices", "through", "unlisted"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and stored as a table in the shared folder, so that later reads survive lost executors.
-
-    A table rather than checkpoint(): a checkpoint keeps the constraints that the optimiser has found, which grow with
-    every join of a loop, until planning takes longer than the work.
-    """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: What counts as a word wherever an operator splits on white space: runs of anything but ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def partitions(spark: SparkSession) -> int:

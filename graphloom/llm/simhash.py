@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected
 from .common import bounded, by_batch, col, cut, fresh, partitions
-from .components import connected
 
 #: Words of a shingle, and the differing bits up to which fingerprints link.
 WORDS, BITS, SEED = 4, 4, 42

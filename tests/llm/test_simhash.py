@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from graphloom.llm import components, simhash
+from graphloom.llm import simhash
+from graphloom.operators import components
 
 
 def plain(text, words=4):
