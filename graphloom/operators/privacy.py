@@ -5,33 +5,38 @@ from __future__ import annotations
 import math
 import secrets
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.graph import Graph
 from .pagerank import pagerank
 
 
+def _uniform(key: Column, seed: int, k: int) -> Column:
+    """A number in (0, 1) fixed by seed, k and key: unlike rand(), the same however rows are partitioned or retried."""
+    return (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), key), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
+
+
 def _seed(seed: int | None) -> int:
+    """A secret one unless given, so that the noise differs each time, as it should."""
     return secrets.randbits(62) if seed is None else seed
 
 
-def laplace_mechanism(scores: DataFrame, epsilon: float, sensitivity: float, seed: int | None = None, value: str = "score") -> DataFrame:
-    """scores with Laplace noise of scale sensitivity / epsilon. Without a seed the noise differs each time, as it should."""
+def laplace_mechanism(scores: DataFrame, epsilon: float, sensitivity: float, seed: int | None = None, value: str = "score", key: str = "id") -> DataFrame:
+    """scores with Laplace noise of scale sensitivity / epsilon on each key's value."""
     if epsilon <= 0:
         raise ValueError("epsilon must be positive")
-    u = F.rand(_seed(seed)) - 0.5
-    noisy = scores.withColumn("_u", u)
-    # 1 - 2|u| is 0 for u = -0.5 alone.
-    noise = -F.lit(sensitivity / epsilon) * F.signum("_u") * F.ln(F.greatest(1 - 2 * F.abs(F.col("_u")), F.lit(1e-300)))
-    return noisy.withColumn(value, F.col(value) + noise).drop("_u")
+    u = _uniform(F.col(key), _seed(seed), 0) - 0.5
+    return scores.withColumn(value, F.col(value) - F.lit(sensitivity / epsilon) * F.signum(u) * F.ln(1 - 2 * F.abs(u)))
 
 
-def gaussian_mechanism(scores: DataFrame, epsilon: float, delta: float, sensitivity: float, seed: int | None = None, value: str = "score") -> DataFrame:
+def gaussian_mechanism(scores: DataFrame, epsilon: float, delta: float, sensitivity: float, seed: int | None = None, value: str = "score", key: str = "id") -> DataFrame:
+    """scores with normal noise, from two uniform numbers each."""
     if epsilon <= 0 or delta <= 0:
         raise ValueError("epsilon and delta must be positive")
-    sigma = sensitivity * math.sqrt(2 * math.log(1.25 / delta)) / epsilon
-    return scores.withColumn(value, F.col(value) + F.randn(_seed(seed)) * sigma)
+    sigma, seed = sensitivity * math.sqrt(2 * math.log(1.25 / delta)) / epsilon, _seed(seed)
+    normal = F.sqrt(-2 * F.ln(_uniform(F.col(key), seed, 1))) * F.cos(2 * math.pi * _uniform(F.col(key), seed, 2))
+    return scores.withColumn(value, F.col(value) + normal * sigma)
 
 
 def pagerank_sensitivity(graph: Graph, damping: float = 0.85) -> float:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,15 +47,12 @@ def estimate_degrees(graph: Graph, precision: int = 10, method: str = "fnv") ->
     return graph.vertices.select("id").join(found, "id", "left").select("id", F.coalesce("degree", F.lit(0.0)).alias("degree"))
 
 
-#: Fixed value: the first row's seed; each further one is the hash of the last plus its row.
-FIRST_SEED = 0xCAFEBABEDEADBEEF
+#: Fixed value: what the seeds begin from; each is the hash of the one before plus its row.
+START = 0xCAFEBABEDEADBEEF
 
 
 def seeds(depth: int) -> list[int]:
-    out = [FIRST_SEED]
-    for i in range(1, depth):
-        out.append(fnv1a_int(out[-1] + i))
-    return out[:depth]
+    return list(accumulate(range(depth), lambda seed, row: fnv1a_int(seed + row), initial=START))[1:]
 
 
 def cms_cells(item: Column, width: int, depth: int) -> Column:

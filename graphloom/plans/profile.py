@@ -32,4 +32,4 @@ class Profiler:
 def environment(spark: SparkSession) -> dict[str, str]:
     """The session's settings that decide how work is spread."""
     keys = ("spark.master", "spark.executor.instances", "spark.executor.cores", "spark.executor.memory", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")
-    return {k: spark.conf.get(k, "") for k in keys} | {"version": spark.version, "parallelism": str(spark.sparkContext.defaultParallelism)}
+    return {k: spark.conf.get(k, None) or "" for k in keys} | {"version": spark.version, "parallelism": str(spark.sparkContext.defaultParallelism)}

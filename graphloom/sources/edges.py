@@ -67,8 +67,8 @@ def read_binary(spark: SparkSession, path: str) -> Graph:
                 yield pd.DataFrame({"src": np.repeat(np.arange(v), np.diff(offsets)), "dst": ends.astype(np.int64), "weight": weights.astype(float), "pos": np.arange(e), "v": v})
 
     content = spark.read.format("binaryFile").load(path).select("content")
-    head = content.select(F.reverse(F.substring("content", 1, 4)).alias("v")).first()
-    return Graph.from_edges(content.mapInPandas(unpack, "src long, dst long, weight double, pos long, v long"), vertices=spark.range(int.from_bytes(bytes(head["v"]), "big")))
+    head = content.select(F.substring("content", 1, 4).alias("v")).first()
+    return Graph.from_edges(content.mapInPandas(unpack, "src long, dst long, weight double, pos long, v long"), vertices=spark.range(int.from_bytes(head["v"], "little")))
 
 
 def topology(graph: Graph, limit: int = 500) -> tuple[DataFrame, DataFrame]:

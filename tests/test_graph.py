@@ -118,7 +118,7 @@ def test_commitments(tiny):
 
 def test_sketches(spark, tiny):
     assert values(sketch.estimate_degrees(tiny), 9) == [2.001955672, 1.000488599, 2.001955672, 1.000488599, 0.0]
-    assert [f"{s:x}" for s in sketch.seeds(7)][1:] == ["d8dcaa4228073331", "4ce8c80387f65a04", "bfd094b1326d7a84", "9901eaaf0cd0d464", "1ce291bf284ee2db", "5e11878507f4586"] or sketch.seeds(7)
+    assert [f"{s:x}" for s in sketch.seeds(7)] == ["288d8bee49957ceb", "d8dcaa4228073331", "4ce8c80387f65a04", "bfd094b1326d7a84", "9901eaaf0cd0d464", "1ce291bf284ee2db", "5e11878507f4586"]
     s = sketch.build_edge_sketch(tiny)
     got = {(r.src, r.dst): r.estimate for r in sketch.query_edge_frequency(s, spark.createDataFrame([(0, 1), (4, 0)], "src long, dst long")).collect()}
     assert got == {(0, 1): 1, (4, 0): 0}
