@@ -22,8 +22,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Tables that this process has written.
+_written: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that this process has stored; to be called when no result that reads them is needed any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df computed once and read back from a table, which cuts lineage, survives lost executors, and keeps plans small."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
