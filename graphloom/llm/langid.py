@@ -17,6 +17,8 @@ SIZES, BUCKETS, DIM, EPOCHS, RATE, SEED = (1, 2, 3, 4), 1 << 14, 16, 6, 0.5, 11
 SAMPLE, SAMPLE_BYTES = 4000, 1 << 16
 #: Documents in so many are rejected of those in a known language, in the calibration part, and the confidence that always suffices.
 REJECT, ENOUGH = 0.001, 0.5
+#: Evidence for a language: n-grams of the LONGER sizes by KNOWN buckets, each counted ONCE more than it was seen.
+LONGER, KNOWN, ONCE = (3, 4), 1 << 16, 0.5
 UNKNOWN = "und"
 #: Code points that are looked at together.
 _TOGETHER = 1 << 18
@@ -24,12 +26,20 @@ _TOGETHER = 1 << 18
 
 @dataclass(frozen=True)
 class Model:
-    """langs in code-point order; table has a row of logits for each bucket."""
+    """langs in code-point order; table has a row of logits for each bucket.
+
+    A softmax is sure of text unlike all it has learned from, so it is rejected by evidence: `known` has the log-probability
+    of each bucket's n-grams in each language; a text's mean in its language, less the usual one (`centre`), must not be below
+    `limit`.
+    """
 
     langs: tuple[str, ...]
     table: np.ndarray
     scale: float
     least: float
+    known: np.ndarray
+    centre: np.ndarray
+    limit: float
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, rejected) of each whole text. A text without a letter is UNKNOWN, with score 0, and rejected."""
@@ -42,7 +52,8 @@ class Model:
             score = np.where(any_letter, p[np.arange(j - i), best], 0.0)
             langs += [self.langs[b] if k else UNKNOWN for b, k in zip(best.tolist(), any_letter.tolist(), strict=True)]
             scores.append(score)
-            rejected.append(score < self.least)
+            stray = subword.means(points, LONGER, self.known)[np.arange(j - i), best] - self.centre[best]
+            rejected.append((score < self.least) | (stray < self.limit))
         empty = [np.zeros(0)]
         return langs, np.concatenate(empty + scores), np.concatenate([np.zeros(0, bool), *rejected])
 
@@ -60,23 +71,28 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     About `sample` rows are drawn by a hash of the id. Executors turn them into bags of hashed n-grams, whose size is
     bounded by the number of buckets; the driver trains on these in numpy. One in five is kept back to calibrate: the
-    temperature makes scores match how often they are right there, and the least score to accept is the one that
-    REJECT of the kept rows miss, or ENOUGH if that is lower. Without rows the model knows no language.
+    temperature makes scores match how often they are right there, the least score to accept is the one that
+    REJECT of the kept rows miss, or ENOUGH if that is lower, and the least evidence is what REJECT of them miss. With fewer than 50 rows nothing is kept back and evidence rejects nothing. Without rows the model knows
+    no language.
     """
     rows = labelled.where(col(text_col).isNotNull() & col(lang_col).isNotNull() & (F.octet_length(col(text_col)) <= SAMPLE_BYTES))
     rows = sampled(rows, sample, id_col).select(col(lang_col).alias("lang"), col(text_col).alias("text"), F.xxhash64(col(id_col)).alias("at"))
 
     def bag(lang, text, at):
-        found = list(subword.bags(subword.Points(text.to_pylist(), subword.letters()), SIZES, BUCKETS))
+        points = subword.Points(text.to_pylist(), subword.letters())
+        shorter = subword.bags(points, tuple(n for n in SIZES if n not in LONGER), BUCKETS)
+        # Those of the LONGER sizes first, by KNOWN buckets; the others after these.
+        found = [(np.append(i, j + KNOWN), np.append(n, m)) for (i, n), (j, m) in zip(subword.bags(points, LONGER, KNOWN), shorter, strict=True)]
         return lang, at, lists([ids for ids, _ in found]), lists([n for _, n in found])
 
     got = by_arrow(rows, ["lang", "text", "at"], bag, "lang string, at long, ids array<int>, counts array<int>").toArrow().sort_by([("at", "ascending"), ("lang", "ascending")])
     langs = tuple(sorted(set(got["lang"].to_pylist())))
     labels = np.array([langs.index(x) for x in got["lang"].to_pylist()], np.int64)
-    bags = [(np.array(i, np.int64), np.array(c, np.float64)) for i, c in zip(_arrays(got["ids"]), _arrays(got["counts"]), strict=True)]
+    fine = list(zip(_arrays(got["ids"]), _arrays(got["counts"]), strict=True))
+    bags = [_coarse(i, c) for i, c in fine]
     full = [k for k in range(len(bags)) if len(bags[k][0])]
     if not full:
-        return Model((), np.zeros((BUCKETS, 1)), 1.0, 0.0)
+        return Model((), np.zeros((BUCKETS, 1)), 1.0, 0.0, np.zeros((KNOWN, 1)), np.zeros(1), -np.inf)
     held = full[::5] if len(full) >= 50 else []
     learn = np.array([k for k in full if k not in set(held)])
     model = subword.Embeddings(BUCKETS, len(langs), DIM, SEED)
@@ -87,7 +103,26 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     logits = np.array([(c / c.sum()) @ table[i] for i, c in (bags[k] for k in held)]).reshape(-1, len(langs))
     scale = subword.temperature(logits, labels[held]) if held else 1.0
     top = subword.softmax(scale * logits).max(axis=1) if held else np.ones(1)
-    return Model(langs, table, scale, float(min(ENOUGH, np.quantile(top, REJECT))))
+    seen = np.full((KNOWN, len(langs)), ONCE)
+    longer = [(i[i < KNOWN], c[i < KNOWN]) for i, c in fine]
+    for k in learn.tolist():
+        seen[longer[k][0], labels[k]] += longer[k][1]
+    known = np.log(seen / seen.sum(axis=0)).astype(np.float32)
+    centre, limit = np.zeros(len(langs)), -np.inf
+    if held:
+        # A language without kept rows has its centre from those it was learned from.
+        own = {x: rows for x in range(len(langs)) if (rows := [k for k in held if labels[k] == x] or [k for k in full if labels[k] == x])}
+        evidence = {k: float(np.average(known[longer[k][0], labels[k]], weights=longer[k][1])) for k in {*held, *(k for rows in own.values() for k in rows)}}
+        for x, rows in own.items():
+            centre[x] = np.median([evidence[k] for k in rows])
+        limit = float(np.quantile([evidence[k] - centre[labels[k]] for k in held], REJECT))
+    return Model(langs, table, scale, float(min(ENOUGH, np.quantile(top, REJECT))), known, centre, limit)
+
+
+def _coarse(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same bag by BUCKETS, which are the low bits of KNOWN."""
+    out, at = np.unique(ids.astype(np.int64) & BUCKETS - 1, return_inverse=True)
+    return out, np.bincount(at, counts, len(out))
 
 
 def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
