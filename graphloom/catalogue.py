@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from . import datasets
@@ -12,7 +10,7 @@ from .functions.hashing import unsigned
 from .operators import components, learn, pagerank, partition, privacy, scheduler, simulate, sketch, traversal, triangles, verify
 from .plans.graph import Graph
 from .plans.match import compile_predicate, match
-from .plans.store import shared_dir
+from .plans.store import folder
 from .streaming import ingest
 
 QUERIES: dict = {}
@@ -202,12 +200,29 @@ def triangles_cp(spark, d):
     return triangles.triangle_count(q("cp")(spark, d), canonicalize=True)
 
 
-@query("kl_bisection_ut")
+#: One step a vertex and sweep: the list of parts with the vertex's own turned if more of its out-edges lead to the other part.
+_KL_SWEEP = f"""{graph_sql('ut')}, adj AS (SELECT src, list(dst) AS d, list(m) AS w FROM m GROUP BY src), r(step, part) AS (
+SELECT 0, list(CAST(id >= n // 2 AS INT) ORDER BY id) FROM v, n UNION ALL
+SELECT step + 1, CASE WHEN coalesce(list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN part[d[i] + 1] <> part[src + 1] THEN w[i] ELSE -w[i] END)), 0) > 0
+THEN list_transform(range(1, len(part) + 1), lambda i: CASE WHEN i = src + 1 THEN 1 - part[i] ELSE part[i] END) ELSE part END
+FROM r, n LEFT JOIN adj ON src = step % n WHERE step < 10 * n)
+SELECT CAST(unnest(range(len(part))) AS BIGINT) AS id, CAST(unnest(part) AS INT) AS part FROM r, n WHERE step = 10 * n"""
+
+
+@query("kl_bisection_ut", _KL_SWEEP)
 def kl_ut(spark, d):
-    return partition.bisect(q("ut")(spark, d), exact=True)
+    return partition.bisect(q("ut")(spark, d))
+
 
+def _kl_spread_sql(name: str, iterations: int) -> str:
+    out = f"{graph_sql(name)}, b AS (SELECT src, dst, sum(m) AS w FROM (SELECT src, dst, m FROM m UNION ALL SELECT dst, src, m FROM m) GROUP BY src, dst), p0 AS (SELECT id, CAST(id >= n // 2 AS INT) AS part FROM v, n)"
+    for k in range(2 * iterations):
+        out += f""", p{k + 1} AS (SELECT p.id, CASE WHEN p.id % 2 = {k % 2} AND gain > 0 THEN 1 - part ELSE part END AS part FROM p{k} p LEFT JOIN
+        (SELECT src, sum(CASE WHEN x.part <> y.part THEN w ELSE -w END) AS gain FROM b JOIN p{k} x ON src = x.id JOIN p{k} y ON dst = y.id GROUP BY src) ON p.id = src)"""
+    return f"{out} SELECT id, CAST(part AS INT) AS part FROM p{2 * iterations}"
 
-@query("kl_bisection_spread_cs")
+
+@query("kl_bisection_spread_cs", _kl_spread_sql("cs", 2))
 def kl_cs(spark, d):
     return partition.bisect(q("cs")(spark, d).symmetrized(), iterations=2, exact=False)
 
@@ -301,7 +316,7 @@ def _federated_sql(rounds: int) -> str:
 
 @query("federated_ut", _federated_sql(2))
 def federated_ut(spark, d):
-    r = learn.federated_train(q("ut")(spark, d), features(spark, d).withColumn("x", F.col("x") / 1000), 4, 2)
+    r = learn.federated_train(q("ut")(spark, d), 4, 2, features(spark, d).withColumn("x", F.col("x") / 1000))
     return spark.createDataFrame([(round(r["weight"], 6), round(r["loss"], 6))], "weight double, loss double")
 
 
@@ -331,15 +346,40 @@ def dp_sensitivity(spark, d):
     return spark.createDataFrame([(round(privacy.pagerank_sensitivity(q("ut")(spark, d)), 9),)], "sensitivity double")
 
 
-@query("dp_pagerank_rows")
+@query("dp_pagerank_rows", f"""{graph_sql('ut')}{pagerank_steps(5)}, u AS (SELECT id, score, (CAST('0x' || substr(md5('7|0|' || id), 1, 13) AS BIGINT) + CAST(0.5 AS DOUBLE)) / pow(CAST(2 AS DOUBLE), 52) - CAST(0.5 AS DOUBLE) AS u FROM s5)
+SELECT id, round(greatest(score - 2 * CAST(0.85 AS DOUBLE) / (n * (1 - CAST(0.85 AS DOUBLE))) * sign(u) * ln(1 - 2 * abs(u)), 0), 9) AS score FROM u, n""")
 def dp_rows(spark, d):
-    return privacy.dp_pagerank(q("ut")(spark, d), 1.0, 5, seed=7)
+    return rounded(privacy.dp_pagerank(q("ut")(spark, d), 1.0, 5, seed=7), "score")
+
+
+def folded_sql(start: str, words: str) -> str:
+    return f"list_reduce([CAST({start} AS UHUGEINT)] || {words}, lambda h, b: (xor(h, b) * CAST(1099511628211 AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT))"
 
 
-@query("zkp_roundtrip")
+def float_bits_sql(x: str) -> str:
+    """The bits of a positive float: exponent and fraction."""
+    e = f"floor(log2(CAST({x} AS DOUBLE)))"
+    return f"CAST((CAST({e} AS BIGINT) + 127) * 8388608 + CAST((CAST({x} AS DOUBLE) / pow(CAST(2 AS DOUBLE), {e}) - 1) * 8388608 AS BIGINT) AS UHUGEINT)"
+
+
+def _zkp_sql() -> str:
+    out = f"WITH e AS (SELECT * FROM {_TINY}), deg AS (SELECT src, count(*) AS deg FROM e GROUP BY src), v AS (SELECT unnest(range(5)) AS id), s0 AS (SELECT id, CAST(0.2 AS FLOAT) AS score FROM v), "
+    base = "(CAST(1 AS FLOAT) - CAST(0.85 AS FLOAT)) / CAST(5 AS FLOAT)"
+    # No path has more than four edges, so six iterations give what any more do.
+    for k in range(6):
+        push = "CAST(0.85 AS FLOAT) * CAST(score / CAST(deg AS FLOAT) AS FLOAT)"
+        out += f"s{k + 1} AS (SELECT v.id, list_reduce([CAST({base} AS FLOAT)] || coalesce(p, []), lambda a, b: CAST(a + b AS FLOAT)) AS score FROM v LEFT JOIN (SELECT dst, list(CAST({push} AS FLOAT) ORDER BY e.src) AS p FROM e JOIN deg USING (src) JOIN s{k} ON e.src = id GROUP BY dst) t ON v.id = dst), "
+    start, blinding = "14695981039346656037", f"CAST({verify.RANDOMNESS} AS UHUGEINT)"
+    out += f"w AS (SELECT list({float_bits_sql('score')} ORDER BY id) AS bits FROM s6), g AS (SELECT [CAST(0 AS UHUGEINT), 2, 3, 5, 6, 6] || (SELECT list(CAST(dst AS UHUGEINT) ORDER BY src, dst) FROM e) AS words), "
+    out += f"c AS (SELECT bits, {folded_sql(start, f'(bits || [{blinding}])')} AS c, {folded_sql(start, 'words')} AS f FROM w, g), "
+    out += f"p AS (SELECT c, {folded_sql(start, f'(bits || [{float_bits_sql('CAST(CAST(xor(f, c) % 1000000 AS FLOAT) / CAST(1000000 AS FLOAT) AS FLOAT)')}, xor({blinding}, xor(f, c))])')} AS p FROM c) "
+    return out + "SELECT lower(to_hex(CAST(c AS UBIGINT))) AS commitment, lower(to_hex(CAST(p AS UBIGINT))) AS proof, true AS verified, true AS opened FROM p"
+
+
+@query("zkp_roundtrip", _zkp_sql())
 def zkp_roundtrip(spark, d):
     g = Graph.tiny(spark)
-    scores = pagerank.pagerank(g)
+    scores = pagerank.pagerank_single(g)
     c = verify.zkp_commit(scores)
     p = verify.zkp_prove(g, c, scores)
     return spark.createDataFrame([(f"{c.commitment_hash:x}", f"{p.proof_hash:x}", verify.zkp_verify(g, c, p), verify.zkp_open(g, c, p, scores))], "commitment string, proof string, verified boolean, opened boolean")
@@ -377,10 +417,19 @@ def scheduler_all(spark, d):
 @query("stream_freeze_cs", f"{graph_sql('cs')} SELECT v.id, CAST(coalesce(sum(m), 0) AS BIGINT) AS degree FROM v LEFT JOIN m ON v.id = m.src GROUP BY v.id")
 def stream_freeze(spark, d):
     g = q("cs")(spark, d)
-    base = f"{shared_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    base = folder(spark, "streams")
     # Some edges lead outside and are dropped on the way.
     outside = g.edges.limit(5).withColumn("dst", F.lit(10**12))
     g.edges.unionByName(outside).select("src", "dst", "weight").write.parquet(f"{base}/in")
     n = g.num_vertices()
     ingest.ingest(ingest.edge_stream(spark, f"{base}/in"), n, f"{base}/out", f"{base}/state").awaitTermination()
     return ingest.freeze(spark, f"{base}/out", n).degrees()
+
+
+@query("stream_cms", cms_sql("cs"))
+def stream_cms(spark, d):
+    g = q("cs")(spark, d)
+    base = folder(spark, "streams")
+    g.edges.select("src", "dst", "weight").write.parquet(f"{base}/in")
+    ingest.keep_sketch(ingest.edge_stream(spark, f"{base}/in"), f"{base}/sketch", f"{base}/state").awaitTermination()
+    return sketch.query_edge_frequency(spark.read.parquet(f"{base}/sketch"), g.edges.select("src", "dst"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .plans.graph import Graph
+from .plans.store import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +29,20 @@ def customer_supplier(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def user_transitions(spark: SparkSession, sf_dir: str) -> Graph:
-    """From the user of an event to the user of the next one of its type, weighted by the event's value."""
-    events = table(spark, sf_dir, "events")
-    nxt = F.lead("user_id").over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    return Graph.from_edges(events.select(F.col("user_id").alias("src"), nxt.alias("dst"), F.col("value").alias("weight")).where("dst is not null"))
+    """From the user of an event to the user of the next one of its type, weighted by the event's value.
+
+    Types are few, so the order is spread over ranges of (type, time): within a range the next event is the next row, and
+    the last one of a type goes on to the first of the same type in a later range, of which there is one row a range.
+    """
+    order = ["event_type", "ts", "event_id"]
+    events = table(spark, sf_dir, "events").select(*order, "user_id", "value").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+    # Which range a row came to is read twice.
+    events = stored(events.withColumn("range", F.spark_partition_id()))
+    firsts = events.groupBy("event_type", "range").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("first"))
+    after = firsts.select("event_type", "range", F.lead("first").over(Window.partitionBy("event_type").orderBy("range")).alias("after"))
+    nxt = F.lead("user_id").over(Window.partitionBy("event_type", "range").orderBy("ts", "event_id"))
+    ends = events.withColumn("own", nxt).join(after, ["event_type", "range"]).withColumn("dst", F.coalesce("own", "after"))
+    return Graph.from_edges(ends.select(F.col("user_id").alias("src"), "dst", F.col("value").alias("weight")).where("dst is not null"))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> Graph:

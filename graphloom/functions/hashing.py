@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The offset basis and prime of 64-bit FNV-1a.
@@ -27,10 +27,19 @@ def times_prime(h: Column) -> Column:
     return F.shiftleft(upper, 32).bitwiseOR(product.bitwiseAND(F.lit(_HALF)))
 
 
-def fnv1a(x: Column) -> Column:
-    """The hash of the 8 bytes of a long, lowest first."""
-    octets = F.transform(F.sequence(F.lit(0), F.lit(56), F.lit(8)), lambda s: F.call_function("shiftrightunsigned", x, s).bitwiseAND(F.lit(255).cast("long")))
-    return F.aggregate(octets, F.lit(signed(OFFSET)), lambda h, b: times_prime(h.bitwiseXOR(b)))
+def with_fnv1a(df: DataFrame, item: str, out: str) -> DataFrame:
+    """df with `out`: the hash of the 8 bytes of the long `item`, lowest first.
+
+    Two projections a byte. As each uses the one before more than once, the optimiser leaves them apart, so all are
+    generated code without a loop over arrays.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c != out]
+    h, item_ = F.lit(signed(OFFSET)), F.col(f"`{item}`")
+    for shift in range(0, 64, 8):
+        df = df.select(*kept, h.bitwiseXOR(F.shiftrightunsigned(item_, shift).bitwiseAND(F.lit(255).cast("long"))).alias(out))
+        df = df.select(*kept, times_prime(F.col(out)).alias(out))
+        h = F.col(out)
+    return df
 
 
 def fnv1a_int(x: int) -> int:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.graph import Graph
+from ..plans.store import stored
 
 
 def _gathered(graph: Graph, features: DataFrame) -> DataFrame:
@@ -35,22 +36,45 @@ def shards(graph: Graph, nodes: int) -> DataFrame:
     return graph.vertices.select("id", F.least(F.floor(F.col("id") / size), F.lit(nodes - 1)).cast("int").alias("node"))
 
 
-def seeded(graph: Graph, count: int, seed: int = 42) -> list[float]:
-    """`count` uniform numbers of the Mersenne Twister, as 32-bit draws over 2^32."""
-    import numpy as np
+def seeded(graph: Graph, nodes: int = 4, seed: int = 42) -> tuple[DataFrame, list[float]]:
+    """Features (id, x) and a first weight for each node: uniform 32-bit floats of the Mersenne Twister.
 
-    twister = np.random.MT19937()
-    twister._legacy_seeding(seed)
-    return (twister.random_raw(count) / 2**32).astype(float).tolist()
-
-
-def federated_train(graph: Graph, features: DataFrame, num_nodes: int = 4, num_rounds: int = 10, rate: float = 0.01, epochs: int = 5, start: float | list[float] = 0.5) -> dict:
+    The draws follow one another: the features of a node's vertices, then its weight, then those of the next node. They
+    are a sequence, so one task makes them, some at a time.
+    """
+    n = graph.num_vertices()
+    size = max(1, n // nodes)
+    ends = [min((k + 1) * size, n) if k < nodes - 1 else n for k in range(nodes)]
+    total = n + nodes
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for _ in batches:
+            twister = np.random.MT19937()
+            twister._legacy_seeding(seed)
+            for first in range(0, total, 1 << 20):
+                draws = twister.random_raw(min(1 << 20, total - first)).astype(np.float32) / np.float32(2**32)
+                yield pd.DataFrame({"at": np.arange(first, first + len(draws)), "x": np.minimum(draws, np.nextafter(np.float32(1), np.float32(0))).astype(float)})
+
+    drawn = stored(graph.spark.range(1).coalesce(1).mapInPandas(run, "at long, x double"))
+    weights = [end + k for k, end in enumerate(ends)]
+    found = {r["at"]: r["x"] for r in drawn.where(F.col("at").isin(weights)).collect()}
+    part = shards(graph, nodes)
+    return part.withColumn("at", F.col("id") + F.col("node")).join(drawn, "at").select("id", "x"), [found[w] for w in weights]
+
+
+def federated_train(graph: Graph, num_nodes: int = 4, num_rounds: int = 10, features: DataFrame | None = None, rate: float = 0.01, epochs: int = 5, start: float | list[float] = 0.5) -> dict:
     """weight, rounds, loss and nodes [(node, weight, loss)] after rounds of local epochs and size-weighted averages.
 
     A node has its range of vertices and the edges inside it. In an epoch out = max(0, w * s), loss is the mean square
     of out - x, and w falls by rate * 2 * (mean out - mean x) * mean x. As out is linear in w on either side of 0, the
     epochs need eight sums a node, found in one pass over the graph; the rounds are arithmetic on these few rows.
+    Without features (id, x) they and the nodes' first weights are drawn by `seeded`.
     """
+    if features is None:
+        features, start = seeded(graph, num_nodes)
     part = shards(graph, num_nodes)
     inside = graph.edges.join(part.toDF("src", "a"), "src").join(part.toDF("dst", "b"), "dst").where("a = b").select("src", "dst", "weight", "pos")
     g = _gathered(Graph(graph.vertices, inside), features).join(part, "id")

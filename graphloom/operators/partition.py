@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 from ..plans.graph import Graph
 from ..plans.store import stored
 
-#: Edges up to which the sequential sweep is taken: it runs in one task, as each move sees the ones before it.
-EXACT_EDGES = 2_000_000
-
-
 def edge_cut(graph: Graph, parts: DataFrame) -> DataFrame:
     """One row (edge_cut): edges between parts, halved, as undirected graphs store each twice."""
     side = lambda name, part: parts.select(F.col("id").alias(name), F.col("part").alias(part))
@@ -20,15 +16,14 @@ def edge_cut(graph: Graph, parts: DataFrame) -> DataFrame:
     return both.agg(F.floor(F.coalesce(F.sum(F.when(F.col("a") != F.col("b"), F.col("m"))), F.lit(0)) / 2).cast("long").alias("edge_cut"))
 
 
-def bisect(graph: Graph, iterations: int = 10, exact: bool | None = None) -> DataFrame:
+def bisect(graph: Graph, iterations: int = 10, exact: bool = True) -> DataFrame:
     """(id, part): halves by id, then vertices with more out-edges to the other part move, without regard to balance.
 
-    exact sweeps over ids in order, each move seeing the earlier ones; that is sequential, so one task does it. The
-    other way moves all even ids at once, then all odd ones; results differ but the work is spread. None: by size.
+    exact sweeps over ids in order, each move seeing the earlier ones; that is sequential, so one task does it and must
+    hold all different edges. exact=False is another rule for larger graphs, with other results: all even ids move at
+    once, then all odd ones, and the work is spread.
     """
     n = graph.num_vertices()
-    if exact is None:
-        exact = graph.num_edges() <= EXACT_EDGES
     if exact:
         return _sweep(graph, n, iterations)
     edges = stored(graph.merged())

@@ -13,8 +13,9 @@ from .pagerank import pagerank
 
 
 def _uniform(key: Column, seed: int, k: int) -> Column:
-    """A number in (0, 1) fixed by seed, k and key: unlike rand(), the same however rows are partitioned or retried."""
-    return (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), key), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
+    """A number in (0, 1) fixed by seed, k and key: unlike rand(), the same however rows are partitioned or retried. From 52 bits of a digest."""
+    digest = F.md5(F.concat(F.lit(f"{seed}|{k}|"), key.cast("string")))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def _seed(seed: int | None) -> int:

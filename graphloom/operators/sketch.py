@@ -5,17 +5,16 @@ from __future__ import annotations
 import math
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import fnv1a, fnv1a_int, leading_zeros, modulo, signed
+from ..functions.hashing import fnv1a_int, leading_zeros, modulo, signed, with_fnv1a
 from ..plans.graph import Graph
 
 
 def hll_registers(items: DataFrame, key: str, item: str, precision: int = 10) -> DataFrame:
     """(key, idx, rho): the top bits of an item's hash name a register, which keeps the most leading zeros of the rest, plus one."""
-    h = fnv1a(F.col("_item"))
-    seen = items.select(F.col(key).alias("key"), F.col(item).cast("long").alias("_item")).distinct().select("key", h.alias("_h"))
+    seen = with_fnv1a(items.select(F.col(key).alias("key"), F.col(item).cast("long").alias("_item")).distinct(), "_item", "_h")
     rho = leading_zeros(F.shiftleft("_h", precision)) + 1
     return seen.groupBy("key", F.shiftrightunsigned("_h", 64 - precision).cast("int").alias("idx")).agg(F.max(rho).cast("int").alias("rho"))
 
@@ -55,23 +54,24 @@ def seeds(depth: int) -> list[int]:
     return list(accumulate(range(depth), lambda seed, row: fnv1a_int(seed + row), initial=START))[1:]
 
 
-def cms_cells(item: Column, width: int, depth: int) -> Column:
-    """An array of (row, col), one for each row."""
-    return F.array(*(F.struct(F.lit(i).alias("row"), modulo(fnv1a(item.bitwiseXOR(F.lit(signed(s)))), width).alias("col")) for i, s in enumerate(seeds(depth))))
+def cms_cells(items: DataFrame, item: str, width: int, depth: int) -> DataFrame:
+    """items once for each row of the sketch, with that row and the item's col in it."""
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("row"), F.lit(signed(s)).alias("seed")) for i, s in enumerate(seeds(depth)))))
+    mixed = items.withColumn("_each", each).select(*items.columns, "_each.row", F.col(item).bitwiseXOR(F.col("_each.seed")).alias("_mixed"))
+    return with_fnv1a(mixed, "_mixed", "_hash").select(*items.columns, "row", modulo(F.col("_hash"), width).alias("col"))
 
 
 def cms_build(items: DataFrame, item: str, count: Column | None = None, width: int = 2048, depth: int = 5) -> DataFrame:
     """(row, col, cnt): equal items are added up first, so each is hashed once a task, and the table has width * depth rows at most."""
     n = F.lit(1) if count is None else count
     merged = items.groupBy(F.col(item).cast("long").alias("_item")).agg(F.sum(n).alias("_n"))
-    cells = merged.select("_n", F.explode(cms_cells(F.col("_item"), width, depth)).alias("c"))
-    return cells.groupBy("c.row", "c.col").agg(F.sum("_n").cast("long").alias("cnt"))
+    return cms_cells(merged, "_item", width, depth).groupBy("row", "col").agg(F.sum("_n").cast("long").alias("cnt"))
 
 
 def cms_query(sketch: DataFrame, items: DataFrame, item: str, width: int = 2048, depth: int = 5) -> DataFrame:
     """(item, estimate): never less than the true count."""
     keys = items.select(F.col(item).cast("long").alias("item")).distinct()
-    cells = keys.select("item", F.explode(cms_cells(F.col("item"), width, depth)).alias("c")).select("item", "c.row", "c.col")
+    cells = cms_cells(keys, "item", width, depth)
     # The sketch has width * depth rows at most.
     joined = cells.join(F.broadcast(sketch) if width * depth <= 1 << 20 else sketch, ["row", "col"], "left")
     return joined.groupBy("item").agg(F.min(F.coalesce("cnt", F.lit(0))).cast("long").alias("estimate"))
@@ -84,6 +84,27 @@ def edge_key(src: Column, dst: Column) -> Column:
 EDGE_WIDTH, EDGE_DEPTH = 4096, 7
 
 
+class CountMinSketch:
+    """A sketch to be filled item by item on the driver, with the same counters as the tables above; `rows` makes it one."""
+
+    def __init__(self, width: int = 2048, depth: int = 5):
+        self.width, self.seeds, self.counters = width, seeds(depth), [[0] * width for _ in range(depth)]
+
+    def _places(self, item: int) -> list[int]:
+        return [fnv1a_int(item ^ s) % self.width for s in self.seeds]
+
+    def update(self, item: int, count: int = 1) -> None:
+        for row, col in zip(self.counters, self._places(item), strict=True):
+            row[col] += count
+
+    def query(self, item: int) -> int:
+        return min(row[col] for row, col in zip(self.counters, self._places(item), strict=True))
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        found = [(i, j, n) for i, row in enumerate(self.counters) for j, n in enumerate(row) if n]
+        return spark.createDataFrame(found, "row int, col long, cnt long")
+
+
 def build_edge_sketch(graph: Graph) -> DataFrame:
     return cms_build(graph.edges.select(edge_key(F.col("src"), F.col("dst")).alias("k")), "k", width=EDGE_WIDTH, depth=EDGE_DEPTH)
 

@@ -12,26 +12,32 @@ from ..plans.store import stored
 
 #: Levels after which what has been visited is stored as one table again.
 _COMPACT = 8
+#: Vertices of a frontier that may be broadcast.
+_SMALL = 500_000
 
 
 def bfs(graph: Graph, source: int, mode: str = "push") -> DataFrame:
     """(id, dist): the least number of out-edges from the source, -1 where there is no path or no such source.
 
     push joins the frontier with its out-edges; pull joins the vertices not yet reached with their in-edges and the
-    frontier. Both give the same. Only the frontier moves, so a level costs its edges; each level is stored.
+    frontier. Both give the same. A level reads all edges; while its frontier has _SMALL vertices at most, that is
+    broadcast and only the edges that leave it are shuffled, else both sides are. Each level is stored.
     """
     pairs = stored(graph.edges.select("src", "dst").where("src != dst").distinct())
     frontier = stored(graph.vertices.where(F.col("id") == source).select("id"))
     seen, level = [frontier.withColumn("dist", F.lit(0))], 0
-    while not frontier.isEmpty():
+    while size := frontier.count():
         level += 1
         visited = reduce(DataFrame.union, seen)
+        ahead = frontier.withColumnRenamed("id", "src")
+        if size <= _SMALL:
+            ahead = F.broadcast(ahead)
         if mode == "pull":
             rest = graph.vertices.select("id").join(visited.select("id"), "id", "left_anti")
-            step = pairs.join(rest.withColumnRenamed("id", "dst"), "dst", "left_semi").join(frontier.withColumnRenamed("id", "src"), "src", "left_semi")
+            step = pairs.join(ahead, "src", "left_semi").join(rest.withColumnRenamed("id", "dst"), "dst", "left_semi")
             step = step.select(F.col("dst").alias("id")).distinct()
         else:
-            step = pairs.join(frontier.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(visited.select("id"), "id", "left_anti")
+            step = pairs.join(ahead, "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(visited.select("id"), "id", "left_anti")
         frontier = stored(step)
         seen.append(frontier.withColumn("dist", F.lit(level)))
         if len(seen) > _COMPACT:

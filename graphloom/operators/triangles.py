@@ -13,20 +13,28 @@ def triangle_count(graph: Graph, canonicalize: bool = False) -> DataFrame:
     """One row (triangles).
 
     By default edges count as stored: u < v < w with edges u-v, u-w and v-w that ascend; of parallel ones, as many as
-    the rarer of u-w and v-w for each u-v. canonicalize takes edges as undirected and simple; each then leads from the
-    end of lower degree, so that no vertex has more than the root of twice the edges to pair up, hot ones included.
+    the rarer of u-w and v-w for each u-v. canonicalize takes edges as undirected and simple. Either way an edge is led
+    from its end of lower degree for the search, so that no vertex has more than the root of twice the edges to pair
+    up, hot ones included; a triangle is found once, and the multiplicities of its three edges are told apart by ids.
     """
     if canonicalize:
-        pairs = graph.edges.where("src != dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
-        degree = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).groupBy("id").agg(F.count("*").alias("d"))
-        ranked = pairs.join(degree.toDF("u", "du"), "u").join(degree.toDF("v", "dv"), "v")
-        first = F.struct("du", "u") < F.struct("dv", "v")
-        edges = ranked.select(F.when(first, F.col("u")).otherwise(F.col("v")).alias("u"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("v"), F.least("dv", "du").alias("_"), F.greatest("du", "dv").alias("rank"), F.lit(1).alias("m"))
+        pairs = graph.edges.where("src != dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct().withColumn("m", F.lit(1).cast("long"))
     else:
-        edges = graph.merged().where("src < dst").select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(0).alias("_"), F.lit(0).alias("rank"), "m")
-    edges = stored(edges.select("u", "v", "rank", "m"))
-    a = edges.select("u", "v", F.col("rank").alias("rv"), F.col("m").alias("m0"))
-    b = edges.select("u", F.col("v").alias("w"), F.col("rank").alias("rw"), F.col("m").alias("m1"))
-    c = edges.select(F.col("u").alias("v"), F.col("v").alias("w"), F.col("m").alias("m2"))
-    wedges = a.join(b, "u").where(F.struct("rv", "v") < F.struct("rw", "w"))
-    return wedges.join(c, ["v", "w"]).agg(F.coalesce(F.sum(F.col("m0") * F.least("m1", "m2")), F.lit(0)).cast("long").alias("triangles"))
+        pairs = graph.merged().where("src < dst").select(F.col("src").alias("u"), F.col("dst").alias("v"), "m")
+    pairs = stored(pairs)
+    degree = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).groupBy("id").agg(F.count("*").alias("d"))
+    ranked = pairs.join(degree.toDF("u", "du"), "u").join(degree.toDF("v", "dv"), "v")
+    first = F.struct("du", "u") < F.struct("dv", "v")
+    either = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+    edges = stored(ranked.select(either("u", "v").alias("p"), either("v", "u").alias("x"), either("dv", "du").alias("rank"), "m"))
+    a = edges.select("p", "x", F.col("rank").alias("rx"), F.col("m").alias("m1"))
+    b = edges.select("p", F.col("x").alias("y"), F.col("rank").alias("ry"), F.col("m").alias("m2"))
+    c = edges.select(F.col("p").alias("x"), F.col("x").alias("y"), F.col("m").alias("m3"))
+    wedges = a.join(b, "p").where(F.struct("rx", "x") < F.struct("ry", "y"))
+    found = wedges.join(c, ["x", "y"])
+    if canonicalize:
+        return found.agg(F.count("*").alias("triangles"))
+    # The edge between the two smaller ids is the one opposite to the largest.
+    top = F.greatest("p", "x", "y")
+    count = F.when(top == F.col("y"), F.col("m1") * F.least("m2", "m3")).when(top == F.col("x"), F.col("m2") * F.least("m1", "m3")).otherwise(F.col("m3") * F.least("m1", "m2"))
+    return found.agg(F.coalesce(F.sum(count), F.lit(0)).cast("long").alias("triangles"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,24 +22,41 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(found := tempfile.mkdtemp(prefix="graphloom-"))
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
     return found
 
 
-#: Tables that this process has written.
+#: Tables and folders that this process has written.
 _written: list[str] = []
 
 
-def clear(spark: SparkSession) -> None:
-    """Deletes the tables that this process has stored; to be called when no result that reads them is needed any more."""
+def folder(spark: SparkSession, kind: str) -> str:
+    """A new name in the shared folder, which clear() deletes."""
+    _written.append(f"{shared_dir(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def clear(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes these tables, or all that this process has stored; to be called when no result that reads them is needed any more."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in list(_written if paths is None else paths):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+        if name in _written:
+            _written.remove(name)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df computed once and read back from a table, which cuts lineage, survives lost executors, and keeps plans small."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    _written.append(path)
+    path = folder(df.sparkSession, "tables")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
+    """What make returns, stored, and its table's name; all that was stored on the way is deleted."""
+    before = set(_written)
+    out = stored(make())
+    path = _written[-1]
+    clear(spark, [p for p in _written if p not in before and p != path])
+    return out, path

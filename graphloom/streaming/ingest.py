@@ -30,8 +30,16 @@ def freeze(spark: SparkSession, sink: str, num_vertices: int) -> Graph:
 
 def sketch_updates(stream: DataFrame) -> DataFrame:
     """A running Count-Min sketch (row, col, cnt) of the edges of a stream, for output mode complete or update: its state has width * depth rows at most."""
-    cells = stream.select(F.explode(cms_cells(edge_key(F.col("src"), F.col("dst")), EDGE_WIDTH, EDGE_DEPTH)).alias("c"))
-    return cells.groupBy("c.row", "c.col").agg(F.count("*").alias("cnt"))
+    cells = cms_cells(stream.select(edge_key(F.col("src"), F.col("dst")).alias("item")), "item", EDGE_WIDTH, EDGE_DEPTH)
+    return cells.groupBy("row", "col").agg(F.count("*").alias("cnt"))
+
+
+def keep_sketch(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the running sketch of the stream's edges in a table of its own, written anew with each batch. Ends with the input at hand."""
+    return (
+        sketch_updates(stream).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(sink)).start()
+    )
 
 
 def degree_updates(stream: DataFrame) -> DataFrame:

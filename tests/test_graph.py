@@ -1,6 +1,7 @@
 import math
 import random
 import struct
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -109,6 +110,10 @@ def test_commitments(tiny):
     p = verify.zkp_prove(tiny, c, scores)
     assert verify.zkp_verify(tiny, c, p) and verify.zkp_open(tiny, c, p, scores)
     assert not verify.zkp_open(tiny, c, p, scores.withColumn("score", F.col("score") * 1.001))
+    # Known values of the chain over 32-bit scores, and of the proof.
+    single = pagerank.pagerank_single(tiny)
+    known = verify.zkp_commit(single)
+    assert (known.commitment_hash, verify.zkp_prove(tiny, known, single).proof_hash) == (0x828B111045592392, 0x7E646400019B9D18)
     # The chain over the scores' bits, step by step.
     h = hashing.OFFSET
     for x in values(scores):
@@ -134,7 +139,7 @@ def test_hashes(spark):
     rng = random.Random(1)
     xs = [0, 1, -1, 2**63 - 1, -(2**63)] + [rng.randrange(-(2**63), 2**63) for _ in range(300)]
     df = spark.createDataFrame([(x,) for x in xs], "x long")
-    got = df.select("x", hashing.fnv1a(F.col("x")).alias("h"), hashing.modulo(F.col("x"), 1000).alias("m"), hashing.modulo(F.col("x"), 4096).alias("p"), hashing.leading_zeros(F.col("x")).alias("z")).collect()
+    got = hashing.with_fnv1a(df, "x", "h").select("x", "h", hashing.modulo(F.col("x"), 1000).alias("m"), hashing.modulo(F.col("x"), 4096).alias("p"), hashing.leading_zeros(F.col("x")).alias("z")).collect()
     for r in got:
         u = r.x % 2**64
         assert (hashing.unsigned(r.h), r.m, r.p, r.z) == (hashing.fnv1a_int(r.x), u % 1000, u % 4096, 64 - u.bit_length())
@@ -194,6 +199,8 @@ def test_binary_cache(spark, tmp_path):
     (tmp_path / "g.bin").write_bytes(data)
     g = sources.read_binary(spark, str(tmp_path / "g.bin"))
     assert sorted((r.src, r.dst, r.weight, r.pos) for r in g.edges.collect()) == [(0, 1, 1, 0), (0, 3, 2, 1), (2, 0, 3, 2)] and g.num_vertices() == 4
+    sources.write_binary(g, str(tmp_path / "again.bin"))
+    assert (tmp_path / "again.bin").read_bytes() == data
     (tmp_path / "short.bin").write_bytes(data[:-5])
     with pytest.raises(Exception, match="ends early"):
         sources.read_binary(spark, str(tmp_path / "short.bin")).edges.collect()
@@ -241,6 +248,8 @@ def test_random_graphs(spark, seed):
     both = {(min(u, v), max(u, v)) for u, v, _ in e if u != v}
     count = sum({(a, b), (b, c), (a, c)} <= both for c in range(n) for b in range(c) for a in range(b))
     assert triangles.triangle_count(g, canonicalize=True).first()[0] == count
+    once = Counter((u, v) for u, v, _ in e if u < v)
+    assert triangles.triangle_count(g).first()[0] == sum(m * min(once[u, w], once[v, w]) for (u, v), m in once.items() for w in range(v + 1, n))
     part = [int(i >= n // 2) for i in range(n)]
     for _ in range(10):
         moved = False
@@ -251,13 +260,26 @@ def test_random_graphs(spark, seed):
         if not moved:
             break
     assert values(partition.bisect(g)) == part
-    assert set(values(partition.bisect(g, 2, exact=False))) <= {0, 1}
+    part = [int(i >= n // 2) for i in range(n)]
+    for k in range(4):
+        gain = Counter()
+        for u, v, _ in e:
+            gain[u] += 1 if part[u] != part[v] else -1
+        part = [1 - p if i % 2 == k % 2 and gain[i] > 0 else p for i, p in enumerate(part)]
+    assert values(partition.bisect(g, 2, exact=False)) == part
+    level, heard, spikes = [0.0] * n, [0] * n, [0] * n
+    for _ in range(25):
+        level = [x * 0.9 + 0.5 + h * 0.2 for x, h in zip(level, heard, strict=True)]
+        fired = [x >= 1 for x in level]
+        heard = [sum(fired[u] for u, v, _ in e if v == i) for i in range(n)]
+        level, spikes = [0.0 if f else x for x, f in zip(level, fired, strict=True)], [k + f for k, f in zip(spikes, fired, strict=True)]
+    assert values(simulate.simulate_lif_network(g, 25)) == spikes
 
 
 def test_federated_epochs(spark):
     e, g = random_graph(spark, 5)
     x = [((i * 7) % 11 - 3) / 10 for i in range(30)]
-    got = learn.federated_train(g, spark.createDataFrame(list(enumerate(x)), "id long, x double"), 4, 3, rate=0.05, start=-0.1)
+    got = learn.federated_train(g, features=spark.createDataFrame(list(enumerate(x)), "id long, x double"), rate=0.05, start=-0.1, num_rounds=3)
     node = [min(i // 7, 3) for i in range(30)]
     w = dict.fromkeys(range(4), -0.1)
     for _ in range(3):
@@ -275,7 +297,16 @@ def test_federated_epochs(spark):
         total = sum(size[k] * loss[k] for k in w) / 30
         w = dict.fromkeys(w, avg)
     assert got["weight"] == pytest.approx(avg) and got["loss"] == pytest.approx(total)
-    assert learn.seeded(g, 1)[0] == pytest.approx(1608637542 / 2**32)
+
+
+def test_federated_training_as_it_comes(spark, tiny):
+    drawn, weights = learn.seeded(tiny)
+    assert values(drawn)[0] == pytest.approx(1608637542 / 2**32) and len(weights) == 4
+    got = learn.federated_train(tiny)
+    assert (round(got["weight"], 6), round(got["loss"], 6)) == (0.602699, 0.062009)
+    # More nodes than vertices: the rest have none.
+    small = Graph(spark.range(2), tiny.edges.limit(0))
+    assert 0 < learn.federated_train(small, 4, 1)["weight"] < 1
 
 
 def test_streams(spark, tmp_path):
