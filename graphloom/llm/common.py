@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 from ..plans.store import shared_dir
 from ..plans.store import stored as cut
 
-__all__ = ["bounded", "by_arrow", "by_batch", "col", "cut", "fresh", "lists", "partitions", "shared_dir", "sliced", "slices", "through", "unlisted"]
+__all__ = ["arrow_schema", "bounded", "by_arrow", "by_batch", "col", "cut", "few", "fresh", "lists", "partitions", "row_hash", "shared_dir", "sliced", "slices", "through", "unlisted"]
 
 #: What counts as a word wherever an operator splits on white space: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,6 +37,22 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all of a row's columns, whatever their types; rows that differ in any column, or in where nulls are, differ in it."""
+    nested = ("array", "map", "struct", "variant")
+    whole = [F.to_json(F.struct(col(f.name).alias("v"))) if f.dataType.typeName() in nested else col(f.name) for f in df.schema.fields]
+    return F.xxhash64(*whole, F.concat(*(col(c).isNull().cast("int").cast("string") for c in df.columns)))
+
+
+#: Rows of ids and hashes that may be broadcast: about 32 MB in a table of hashes. Beyond, joins shuffle.
+FEW = 500_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, a stored table of ids and hashes, marked to be broadcast if it has FEW rows at most."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 #: Bytes of an input column that one call of a Python function gets at most, a longer value standing alone; Arrow batches from the JVM are bounded likewise.
 SLICE_BYTES, BATCH_BYTES = 2 << 20, 8 << 20
 
@@ -46,7 +62,7 @@ def by_arrow(df: DataFrame, names: list[str], fn: Callable[..., Iterable], schem
 
     The rows of a call are bounded by the bytes of their values (SLICE_BYTES), so memory doesn't grow with the batch.
     """
-    types = _arrow(schema)
+    types = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
@@ -103,18 +119,18 @@ def _bytes(size: str) -> int:
     return int(number) << {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30}[unit]
 
 
-def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterable[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sizes = np.full(b.num_rows, 16 * b.num_columns, np.int64)
         for c in b.columns:
             if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_list(c.type):
                 width = 4 if pa.types.is_list(c.type) else 1
                 sizes += np.diff(np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)) * width if len(c) else 0
-        for i, j in slices(sizes.tolist(), SLICE_BYTES):
+        for i, j in slices(sizes.tolist(), most):
             yield b.slice(i, j - i)
 
 
-def _arrow(schema: str) -> pa.Schema:
+def arrow_schema(schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 

@@ -20,15 +20,16 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, col, partitions, shared_dir, sliced
+from ..plans import store
+from .common import BATCH_BYTES, bounded, col, partitions, sliced
 from .wordbpe import encode_words
 
 _HEAD = struct.Struct("<qqB")
 _INDEX = np.dtype([("at", "<u8"), ("before", "<u8"), ("n", "<u8")])
 #: Castagnoli's polynomial, reflected, and the constant by which checksums are masked.
 _POLY, _MASK = 0x82F63B78, 0xA282EAD8
-#: Bytes of text that one file's records come from, about.
-FILE_BYTES = 48 << 20
+#: Bytes of text that one file's records come from, about, where there is more text than the session's partitions take. Tasks stream it.
+FILE_BYTES = 512 << 20
 
 
 def _table() -> np.ndarray:
@@ -75,65 +76,43 @@ def _wide(n: int) -> np.ndarray:
 
 
 _FOLDS: dict[int, np.ndarray] = {}
+#: Bytes of data that one lane of the checksums takes.
+BLOCK = 64
 
 
 def crc32c(data: bytes) -> int:
-    """CRC-32C. Rows of the data run side by side in numpy, then their states are folded in pairs."""
-    n = len(data)
-    if n < 64:
-        c = 0xFFFFFFFF
-        for b in data:
-            c = int(_T[(c ^ b) & 255]) ^ (c >> 8)
-        return c ^ 0xFFFFFFFF
-    lanes = 1 << max(2, (n // 16).bit_length() - 1)
-    width = -(-n // lanes)
-    # Zero bytes in front leave a zero state as it is; the state's start is laid over the first four bytes instead.
-    first = (np.frombuffer(data, np.uint8, 4) ^ 255).tobytes()
-    grid = np.frombuffer(bytes(lanes * width - n) + first + data[4:], np.uint8).reshape(lanes, width)
-    c = np.zeros(lanes, np.uint32)
-    for j in range(width):
-        c = _T[(c ^ grid[:, j]) & 255] ^ (c >> 8)
-    while len(c) > 1:
-        t = _FOLDS.get(width)
-        if t is None:
-            t = _FOLDS[width] = _wide(width)
-            if len(_FOLDS) > 4096:
-                _FOLDS.clear()
-        a = c[0::2]
-        c = t[0][a & 255] ^ t[1][a >> 8 & 255] ^ t[2][a >> 16 & 255] ^ t[3][a >> 24] ^ c[1::2]
-        width *= 2
-    return int(c[0]) ^ 0xFFFFFFFF
+    return crc32c_many([data])[0]
 
 
 def crc32c_many(items: list[bytes]) -> list[int]:
-    """CRC-32C of each item; items of about the same length go through numpy side by side."""
-    out, sizes = [0] * len(items), np.fromiter(map(len, items), np.int64, len(items))
-    order = np.argsort(sizes, kind="stable").tolist()
-    at = 0
-    while at < len(order):
-        least = int(sizes[order[at]])
-        most, end = min(max(2 * least, 64), 1 << 16), at + 1
-        while end < len(order) and sizes[order[end]] <= most and (end - at) * sizes[order[end]] < 8 << 20:
-            end += 1
-        group = order[at:end]
-        if end - at < 16 or least < 8:
-            for i in group:
-                out[i] = crc32c(items[i])
-        else:
-            # Zero bytes in front leave a zero state as it is; the state's start is laid over the first four bytes.
-            width = int(sizes[group[-1]]) + 1 & ~1
-            grid = np.frombuffer(bytearray().join([items[i].rjust(width, b"\0") for i in group]), np.uint8).reshape(len(group), width)
-            rows, start = np.arange(len(group)), width - sizes[group]
-            for k in range(4):
-                grid[rows, start + k] ^= 255
-            # Two bytes a step.
-            steps = grid.view("<u2").T.astype(np.uint32)
-            c = np.zeros(len(group), np.uint32)
-            for step in steps:
-                c = _T2[(c ^ step) & 0xFFFF] ^ (c >> 16)
-            for i, x in zip(group, (c ^ np.uint32(0xFFFFFFFF)).tolist(), strict=True):
-                out[i] = x
-        at = end
+    """CRC-32C of each item. All are cut into blocks that go through numpy side by side, two bytes a step; then the states of neighbours are folded in pairs."""
+    sizes = np.fromiter(map(len, items), np.int64, len(items))
+    count = np.maximum(-(-sizes // BLOCK), 1)
+    # Zero bytes in front leave a zero state as it is; the state's start is laid over the first four bytes instead.
+    grid = np.frombuffer(bytearray().join([d.rjust(n, b"\0") for d, n in zip(items, (count * BLOCK).tolist(), strict=True)]), np.uint8)
+    at = count.cumsum() * BLOCK - sizes
+    for k in range(4):
+        grid[(at + k)[sizes >= 4]] ^= 255
+    c = np.zeros(len(grid) // BLOCK, np.uint32)
+    for step in np.ascontiguousarray(grid.view("<u2").reshape(-1, BLOCK // 2).T):
+        c = _T2[(c ^ step) & 0xFFFF] ^ (c >> 16)
+    width = BLOCK
+    while len(c) > len(items):
+        half = (count + 1) // 2
+        # An odd number of lanes gets a zero one in front.
+        row = np.zeros(2 * int(half.sum()), np.uint32)
+        row[np.arange(len(c)) + np.repeat((2 * half - count).cumsum(), count)] = c
+        if width not in _FOLDS:
+            _FOLDS[width] = _wide(width)
+        t, a = _FOLDS[width], row[0::2]
+        c = t[0][a & 255] ^ t[1][a >> 8 & 255] ^ t[2][a >> 16 & 255] ^ t[3][a >> 24] ^ row[1::2]
+        count, width = half, 2 * width
+    out = (c ^ np.uint32(0xFFFFFFFF)).tolist()
+    for i in np.flatnonzero(sizes < 4).tolist():
+        state = 0xFFFFFFFF
+        for b in items[i]:
+            state = int(_T[(state ^ b) & 255]) ^ (state >> 8)
+        out[i] = state ^ 0xFFFFFFFF
     return out
 
 
@@ -190,7 +169,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col
     is written under another name and then moved, so an attempt that is lost or runs twice leaves whole files only,
     all the same. What comes back to the driver is three numbers a file of about FILE_BYTES of text.
 
-    Null texts are empty and give a record with end_id alone. Null ids come first. Other columns are not read.
+    Null texts are empty and give a record with end_id alone. Null ids come first; ids are whole numbers (records have 8
+    bytes for them). Other columns are not read.
     """
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     if files is None:
@@ -205,23 +185,27 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col
         part = TaskContext.get().partitionId()
         fs, base = opened(folder)
         temp = f"{base}/_{part}-{uuid.uuid4().hex}"
-        index, at, before = [], 0, 0
-        with fs.open_output_stream(temp) as out:
-            for b in sliced(batches):
-                ids = [np.append(i, end_id) for i in encode_words(b.column(1).to_pylist(), tokenizer_path)]
-                records = framed([packed(k, i, wide) for k, i in zip(b.column(0).to_pylist(), ids, strict=True)])
-                for record, i in zip(records, ids, strict=True):
-                    index.append((at, before, len(i)))
-                    at, before = at + len(record), before + len(i)
+        n, at, before = 0, 0, 0
+        with fs.open_output_stream(temp) as out, fs.open_output_stream(f"{temp}.idx") as marks:
+            # The more text at once, the fewer distinct words are looked up.
+            for b in sliced(batches, BATCH_BYTES):
+                ids, ends = encode_words(b.column(1), tokenizer_path, end_id)
+                starts = np.concatenate([[0], ends[:-1]])
+                records = framed([packed(k, ids[i:j], wide) for k, i, j in zip(b.column(0).to_pylist(), starts.tolist(), ends.tolist(), strict=True)])
+                stops = np.fromiter(map(len, records), np.int64, len(records)).cumsum()
+                index = np.zeros(len(records), _INDEX)
+                index["at"][0], index["at"][1:] = at, at + stops[:-1]
+                index["before"], index["n"] = before + starts, ends - starts
+                marks.write(index.tobytes())
                 out.write(b"".join(records))
-        if index:
-            with fs.open_output_stream(f"{temp}.idx") as out:
-                out.write(np.array(index, _INDEX).tobytes())
+                n, at, before = n + len(records), at + int(stops[-1]), before + len(ids)
+        if n:
             fs.move(f"{temp}.idx", f"{base}/part-{part:06d}.idx")
             fs.move(temp, f"{base}/part-{part:06d}.rec")
-            yield pa.RecordBatch.from_pydict({"file": pa.array([part], pa.int32()), "docs": [len(index)], "tokens": [before]})
+            yield pa.RecordBatch.from_pydict({"file": pa.array([part], pa.int32()), "docs": [n], "tokens": [before]})
         else:
             fs.delete_file(temp)
+            fs.delete_file(f"{temp}.idx")
 
     bounded(docs.sparkSession)
     fs, base = opened(folder)
@@ -238,11 +222,11 @@ def read(spark, folder: str, written: list[tuple[int, int, int]], wide: bool = F
 
     Each task takes some consecutive records of a file, found by the index, and checks both checksums of each.
     """
-    jobs, start = [], 0
-    for file, docs, tokens in written:
-        for first in range(0, docs, max(1, docs * span // max(tokens, 1))):
-            jobs.append((file, start, first, min(docs, first + max(1, docs * span // max(tokens, 1)))))
-        start += tokens
+    starts = np.cumsum([0, *(tokens for _, _, tokens in written)]).tolist()
+    files = spark.createDataFrame([(f, s, d, n) for (f, d, n), s in zip(written, starts, strict=False)], "file int, start long, docs long, tokens long")
+    step = F.greatest(F.lit(1), F.floor(F.col("docs") * span / F.greatest("tokens", F.lit(1)))).cast("long")
+    jobs = files.withColumn("step", step).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("docs") - 1, F.col("step"))))
+    jobs = jobs.select("file", "start", "first", F.least(F.col("docs"), F.col("first") + F.col("step")).alias("last"))
 
     def load(batches):
         for b in batches:
@@ -263,8 +247,8 @@ def read(spark, folder: str, written: list[tuple[int, int, int]], wide: bool = F
                     rows.append((doc_id, start + before, n, zlib.crc32(ids.astype("<u4").tobytes())))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    tasks = max(1, min(len(jobs), 4 * partitions(spark)))
-    return spark.createDataFrame(jobs, "file int, start long, first long, last long").repartition(tasks).mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tasks = max(partitions(spark), min(len(written), 4 * partitions(spark)))
+    return jobs.repartition(tasks, "file", "first").mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def shuffled(folder: str, files: list[int], seed: int, wide: bool = False) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -284,7 +268,4 @@ def shuffled(folder: str, files: list[int], seed: int, wide: bool = False) -> It
 
 def new_folder(spark) -> str:
     """A folder of its own in the one that all machines share."""
-    base = shared_dir(spark)
-    return f"{base.rstrip('/')}/tokens-{uuid.uuid4().hex}"
-
-
+    return store.folder(spark, "tokens")
