@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +18,8 @@ from .common import bounded, by_arrow, by_batch, col, lists, partitions, unliste
 
 #: Code points of a chunk, and of the overlap in which two chunks must meet. A pre-token may look this far past its end.
 CHUNK, OVERLAP, AHEAD = 32_768, 1_024, 3
+#: Ids of a text that are written out together to be digested.
+_PART = 1 << 16
 
 
 @lru_cache(maxsize=4)
@@ -39,9 +42,9 @@ def raw(path: str) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=2)
 def _decimal(upto: int) -> np.ndarray:
-    return np.array([str(i) for i in range(upto)], object)
+    return np.array([b"%d" % i for i in range(upto)], object)
 
 
 def boundaries(body: str, pattern: str, ends: bool) -> list[int]:
@@ -71,9 +74,12 @@ def edges(body: str, first: bool, last: bool, pattern: str, chunk: int, overlap:
     return ([0] if first else [b for b in found if b < overlap]), ([] if last else [b for b in found if chunk <= b < chunk + overlap])
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, into: tuple[Callable[[list[np.ndarray]], list], str] = (lambda ids: [lists(ids)], "ids array<int>")) -> DataFrame:
     """One row (doc_id, ids) for each row of docs: the token ids of its whole text.
 
+    `into` makes other columns of the ids in the same pass: a function from the arrays of ids of some documents to
+    columns, and their schema.
+
     A text of up to `chunk` code points is one chunk. Longer texts are cut into chunks that overlap. Every chunk is
     pre-tokenised on its own, from a place that may lie inside a pre-token. Matching looks at nothing before its
     start, so from the first boundary that two neighbours share in their overlap they go on alike: there the text is
@@ -92,10 +98,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def ids_of(text: str) -> np.ndarray:
         return np.array(encoding(ranks_path, pattern).encode_ordinary(text), np.int32)
 
+    make, schema = into
+
     def whole(doc_id, text):
-        return doc_id, lists([ids_of(t) for t in text.to_pylist()])
+        return doc_id, *make([ids_of(t) for t in text.to_pylist()])
 
-    short = by_arrow(docs.where(~long), ["doc_id", "text"], whole, f"doc_id {id_type}, ids array<int>")
+    short = by_arrow(docs.where(~long), ["doc_id", "text"], whole, f"doc_id {id_type}, {schema}")
     parts = partitions(docs.sparkSession)
     texts = docs.where(long).select(F.sha2("text", 256).alias("digest"), "text").dropDuplicates(["digest"])
 
@@ -129,9 +137,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     mine = mine.join(stitched, "digest").select("doc_id", F.when(~F.col("met"), F.col("text")).alias("text"), "ids")
 
     def rest(doc_id, text, ids):
-        return doc_id, lists([i if t is None else ids_of(t) for t, i in zip(text.to_pylist(), unlisted(ids), strict=True)])
+        return doc_id, *make([i if t is None else ids_of(t) for t, i in zip(text.to_pylist(), unlisted(ids), strict=True)])
 
-    return short.unionByName(by_arrow(mine, ["doc_id", "text", "ids"], rest, f"doc_id {id_type}, ids array<int>"))
+    return short.unionByName(by_arrow(mine, ["doc_id", "text", "ids"], rest, f"doc_id {id_type}, {schema}"))
 
 
 def decode(tokens: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -152,15 +160,24 @@ def decoded(ids: np.ndarray | None, ranks_path: str) -> bytes | None:
     return None if None in tokens else b"".join(tokens)
 
 
-def digests(decoded_tokens: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) from what decode() returns; both digests are null where its bytes are."""
-    id_type = decoded_tokens.schema["doc_id"].dataType.simpleString()
+def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row of docs: its whole text is encoded, the ids are decoded, and both are digested.
 
-    def digest(doc_id, ids, data):
-        ids, data = unlisted(ids), data.to_pylist()
-        names = _decimal(1 << max(16, max((int(i.max(initial=0)) for i in ids if i is not None), default=0).bit_length()))
-        text = [None if d is None else " ".join(names[i].tolist()).encode() for i, d in zip(ids, data, strict=True)]
-        sha = lambda d: None if d is None else hashlib.sha256(d).hexdigest()
-        return doc_id, [None if i is None else len(i) for i in ids], list(map(sha, text)), list(map(sha, data))
+    All in the tasks that encode, so ids aren't sent from one Python process to the next. Nulls, empty tables and so on
+    as in encode().
+    """
 
-    return by_arrow(decoded_tokens, ["doc_id", "ids", "bytes"], digest, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digested(ids: list[np.ndarray]) -> list:
+        names = _decimal(len(raw(ranks_path)))
+        said, back = [], []
+        for i in ids:
+            a, b = hashlib.sha256(), hashlib.sha256()
+            for k in range(0, len(i), _PART):
+                part = i[k : k + _PART]
+                a.update(b" " * bool(k) + b" ".join(names[part].tolist()))
+                b.update(decoded(part, ranks_path))
+            said.append(a.hexdigest())
+            back.append(b.hexdigest())
+        return [[len(i) for i in ids], said, back]
+
+    return encode(docs, ranks_path, pattern, id_col, text_col, into=(digested, "n_tokens long, ids_sha256 string, decoded_sha256 string"), **how)

@@ -39,8 +39,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded(docs: DataFrame) -> DataFrame:
     """Digests of the ids and of what they decode to."""
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.digests(bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path))
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 #: The key of the pseudonyms in these queries; a real run passes its own.
