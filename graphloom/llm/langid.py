@@ -9,16 +9,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import subword
-from .common import by_arrow, col, lists, slices, through
+from . import sampling, subword
+from .common import by_arrow, col, cut, fresh, lists, slices, through, unlisted
 
 SIZES, BUCKETS, DIM, EPOCHS, RATE, SEED = (1, 2, 3, 4), 1 << 14, 16, 6, 0.5, 11
-#: Rows of the labelled sample to learn from, about; and the longest text of it, in bytes (longer ones are classified, not learned from).
-SAMPLE, SAMPLE_BYTES = 4000, 1 << 16
+#: Rows to learn from, at most, shared equally among the languages, but FLOOR of each; the bytes of their texts, likewise;
+#: and the code points of one run of a longer text that is learned from.
+SAMPLE, FLOOR, SAMPLE_BYTES, PIECE = 4000, 100, 16 << 20, 1 << 16
 #: Documents in so many are rejected of those in a known language, in the calibration part, and the confidence that always suffices.
 REJECT, ENOUGH = 0.001, 0.5
 #: Evidence for a language: n-grams of the LONGER sizes by KNOWN buckets, each counted ONCE more than it was seen.
 LONGER, KNOWN, ONCE = (3, 4), 1 << 16, 0.5
+#: How often a row of a rare language is shown in a round, at most.
+AGAIN = 50
 UNKNOWN = "und"
 #: Code points that are looked at together.
 _TOGETHER = 1 << 18
@@ -30,7 +33,7 @@ class Model:
 
     A softmax is sure of text unlike all it has learned from, so it is rejected by evidence: `known` has the log-probability
     of each bucket's n-grams in each language; a text's mean in its language, less the usual one (`centre`), must not be below
-    `limit`.
+    the language's `limit`.
     """
 
     langs: tuple[str, ...]
@@ -39,7 +42,7 @@ class Model:
     least: float
     known: np.ndarray
     centre: np.ndarray
-    limit: float
+    limit: np.ndarray
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, rejected) of each whole text. A text without a letter is UNKNOWN, with score 0, and rejected."""
@@ -53,72 +56,88 @@ class Model:
             langs += [self.langs[b] if k else UNKNOWN for b, k in zip(best.tolist(), any_letter.tolist(), strict=True)]
             scores.append(score)
             stray = subword.means(points, LONGER, self.known)[np.arange(j - i), best] - self.centre[best]
-            rejected.append((score < self.least) | (stray < self.limit))
+            rejected.append((score < self.least) | (stray < self.limit[best]))
         empty = [np.zeros(0)]
         return langs, np.concatenate(empty + scores), np.concatenate([np.zeros(0, bool), *rejected])
 
 
-def sampled(rows: DataFrame, most: int, id_col: str) -> DataFrame:
-    """About `most` of the rows, by a hash of the id: the same ones in every run."""
-    n = rows.count()
-    if n <= most:
-        return rows
-    return rows.where(F.pmod(F.xxhash64(col(id_col)), F.lit(1 << 32)) < int((1 << 32) * most / n))
-
-
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """A model of the languages in labelled rows: null languages and texts are left out.
 
-    About `sample` rows are drawn by a hash of the id. Executors turn them into bags of hashed n-grams, whose size is
-    bounded by the number of buckets; the driver trains on these in numpy. One in five is kept back to calibrate: the
-    temperature makes scores match how often they are right there, the least score to accept is the one that
-    REJECT of the kept rows miss, or ENOUGH if that is lower, and the least evidence is what REJECT of them miss. With fewer than 50 rows nothing is kept back and evidence rejects nothing. Without rows the model knows
-    no language.
+    Up to `sample` rows are drawn by a hash of (id, text), as many of each language, so a rare one is learned too;
+    rows alike in both count once, null ids like others. Texts are not left out for their length: of one longer than PIECE a
+    run is learned from. Executors turn them into bags of hashed n-grams, whose size is bounded by the number of
+    buckets; the driver trains on these in numpy, and shows those of rare languages more often. One in five of each
+    language's rows is kept back to calibrate: the temperature makes scores match how often they are right there, the
+    least score to accept is the one that REJECT of the kept rows miss, or ENOUGH if that is lower, and the least
+    evidence is what REJECT of them miss. A language of fewer than 10 rows keeps none back: its usual evidence is that
+    of each of its rows under the others, and a text is not rejected that has as much as the least of these. With fewer
+    than 50 rows in all nothing is kept back and evidence rejects nothing. Without rows the model knows no language.
     """
-    rows = labelled.where(col(text_col).isNotNull() & col(lang_col).isNotNull() & (F.octet_length(col(text_col)) <= SAMPLE_BYTES))
-    rows = sampled(rows, sample, id_col).select(col(lang_col).alias("lang"), col(text_col).alias("text"), F.xxhash64(col(id_col)).alias("at"))
+    good = labelled.where(col(text_col).isNotNull() & col(lang_col).isNotNull()).withColumn(lang := fresh(labelled, "lang"), col(lang_col).cast("string"))
+    pool = good.select(F.col(lang).alias("label"), sampling.key(id_col, text_col).alias("at"), F.least(F.octet_length(col(text_col)), F.lit(4 * PIECE)).alias("size"))
+    pool = cut(pool)
+    languages = pool.select("label").distinct().count()
+    each = lambda most, least: max(least, most // max(languages, 1))
+    drawn = sampling.draw(pool, each(sample, min(FLOOR, sample)), each(SAMPLE_BYTES, SAMPLE_BYTES // 64))
 
     def bag(lang, text, at):
-        points = subword.Points(text.to_pylist(), subword.letters())
+        points = subword.Points([sampling.piece(t, k, PIECE) for t, k in zip(text, at, strict=True)], subword.letters())
         shorter = subword.bags(points, tuple(n for n in SIZES if n not in LONGER), BUCKETS)
         # Those of the LONGER sizes first, by KNOWN buckets; the others after these.
         found = [(np.append(i, j + KNOWN), np.append(n, m)) for (i, n), (j, m) in zip(subword.bags(points, LONGER, KNOWN), shorter, strict=True)]
-        return lang, at, lists([ids for ids, _ in found]), lists([n for _, n in found])
+        return [lang, at, lists([ids for ids, _ in found]), lists([n for _, n in found])]
 
-    got = by_arrow(rows, ["lang", "text", "at"], bag, "lang string, at long, ids array<int>, counts array<int>").toArrow().sort_by([("at", "ascending"), ("lang", "ascending")])
-    langs = tuple(sorted(set(got["lang"].to_pylist())))
-    labels = np.array([langs.index(x) for x in got["lang"].to_pylist()], np.int64)
+    got = sampling.taken(good, drawn, "string", bag, "label string, at long, ids array<int>, counts array<int>", id_col, text_col)
+    langs = tuple(sorted(set(got["label"].to_pylist())))
+    place = {x: k for k, x in enumerate(langs)}
+    labels = np.array([place[x] for x in got["label"].to_pylist()], np.int64)
     fine = list(zip(_arrays(got["ids"]), _arrays(got["counts"]), strict=True))
     bags = [_coarse(i, c) for i, c in fine]
     full = [k for k in range(len(bags)) if len(bags[k][0])]
     if not full:
-        return Model((), np.zeros((BUCKETS, 1)), 1.0, 0.0, np.zeros((KNOWN, 1)), np.zeros(1), -np.inf)
-    held = full[::5] if len(full) >= 50 else []
-    learn = np.array([k for k in full if k not in set(held)])
+        return Model((), np.zeros((BUCKETS, 1)), 1.0, 0.0, np.zeros((KNOWN, 1)), np.zeros(1), np.full(1, -np.inf))
+    of = [[k for k in full if labels[k] == x] for x in range(len(langs))]
+    held = [k for mine in of if len(full) >= 50 and len(mine) >= 10 for k in mine[::5]]
+    kept = set(held)
+    learn = [[k for k in mine if k not in kept] for mine in of]
+    most = max(map(len, learn))
+    shown = np.array([k for mine in learn for k in mine * max(1, min(AGAIN, most // (4 * max(len(mine), 1))))])
     model = subword.Embeddings(BUCKETS, len(langs), DIM, SEED)
     for epoch in range(EPOCHS):
-        for k in model.rng.permutation(learn).tolist():
+        for k in model.rng.permutation(shown).tolist():
             model.step(*bags[k], labels[k], RATE * (1 - epoch / EPOCHS))
     table = model.table().astype(np.float32)
     logits = np.array([(c / c.sum()) @ table[i] for i, c in (bags[k] for k in held)]).reshape(-1, len(langs))
     scale = subword.temperature(logits, labels[held]) if held else 1.0
     top = subword.softmax(scale * logits).max(axis=1) if held else np.ones(1)
-    seen = np.full((KNOWN, len(langs)), ONCE)
     longer = [(i[i < KNOWN], c[i < KNOWN]) for i, c in fine]
-    for k in learn.tolist():
-        seen[longer[k][0], labels[k]] += longer[k][1]
+    seen = np.full((KNOWN, len(langs)), ONCE)
+    for mine in learn:
+        for k in mine:
+            seen[longer[k][0], labels[k]] += longer[k][1]
     known = np.log(seen / seen.sum(axis=0)).astype(np.float32)
-    centre, limit = np.zeros(len(langs)), -np.inf
+    centre, limit = np.zeros(len(langs)), np.full(len(langs), -np.inf)
     if held:
-        # A language without kept rows has its centre from those it was learned from.
-        own = {x: rows for x in range(len(langs)) if (rows := [k for k in held if labels[k] == x] or [k for k in full if labels[k] == x])}
-        evidence = {k: float(np.average(known[longer[k][0], labels[k]], weights=longer[k][1])) for k in {*held, *(k for rows in own.values() for k in rows)}}
-        for x, rows in own.items():
-            centre[x] = np.median([evidence[k] for k in rows])
-        limit = float(np.quantile([evidence[k] - centre[labels[k]] for k in held], REJECT))
+        evidence = {k: float(np.average(known[longer[k][0], labels[k]], weights=longer[k][1])) for k in held if len(longer[k][0])}
+        for x, mine in enumerate(of):
+            if any(k in evidence for k in mine):
+                centre[x] = np.median([evidence[k] for k in mine if k in evidence])
+        usual = float(np.quantile([e - centre[labels[k]] for k, e in evidence.items()], REJECT)) if evidence else -np.inf
+        for x, mine in enumerate(of):
+            if any(k in evidence for k in mine):
+                limit[x] = usual
+            elif len(alone := [e for k in mine if len(longer[k][0]) for e in [_without(seen[:, x], *longer[k])]]) > 1:
+                centre[x] = np.median(alone)
+                limit[x] = min(usual, min(alone) - centre[x])
     return Model(langs, table, scale, float(min(ENOUGH, np.quantile(top, REJECT))), known, centre, limit)
 
 
+def _without(seen: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> float:
+    """The evidence of a row under the counts without its own."""
+    return float(np.average(np.log((seen[ids] - counts) / (seen.sum() - counts.sum())), weights=counts))
+
+
 def _coarse(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The same bag by BUCKETS, which are the low bits of KNOWN."""
     out, at = np.unique(ids.astype(np.int64) & BUCKETS - 1, return_inverse=True)
@@ -126,8 +145,6 @@ def _coarse(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
-    from .common import unlisted
-
     return [a for c in column.chunks for a in unlisted(c)]
 
 

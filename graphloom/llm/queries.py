@@ -15,9 +15,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held = langid.remainder(F.col("doc_id"), 5) == 0
-    model = toxicity.train(docs.where(~held).select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.train(docs.where(~held), labels.where(~held))
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 

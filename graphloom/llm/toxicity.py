@@ -5,18 +5,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import subword
-from .common import by_arrow, col, lists, slices, unlisted
-from .langid import sampled
+from . import sampling, subword
+from .common import by_arrow, col, cut, lists, slices, unlisted
 
 SIZES, BUCKETS, DIM, EPOCHS, RATE, SEED = (3, 4, 5), 1 << 17, 8, 14, 0.6, 12
 #: Words of a window; windows begin every half of it.
 WINDOW = 8
-#: Rows of each label to learn from, about, and the longest text of them, in bytes (longer ones are scored, not learned from).
-SAMPLE, SAMPLE_BYTES = 1200, 1 << 14
+#: Rows of each label to learn from, at most, the bytes of their texts, likewise, and the code points of one run of a longer text that is learned from.
+SAMPLE, SAMPLE_BYTES, PIECE = 1200, 8 << 20, 1 << 20
 _TOGETHER = 1 << 18
 #: Standard errors by which a log-odds ratio is drawn towards zero, and the softmax's first weight on it.
 _SURE, _GAIN = 1.645, 3.0
@@ -107,36 +107,37 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """A model from labelled rows; null labels and texts are left out.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
+    """A model from the rows of docs whose id has a label, 0 or 1, in labels; null ids have none, null texts are left out.
 
-    About `sample` rows of each label are drawn by a hash of the id. The driver gets their subwords by word, and trains
+    Up to `sample` rows of each label are drawn by a hash of (id, text), alike ones once; only ids, hashes and sizes meet
+    the labels, and then the drawn rows' texts are fetched. No text is left out for its length: of one longer than PIECE
+    a run is learned from. The driver gets their subwords by word, and trains
     in numpy: embeddings and softmax take a step for one window at a time. A toxic document has some toxic window, a
     clean one has none, so in each round a toxic document gives the window that then looks most toxic, and a clean one
     its three most toxic and three others. Training starts from embeddings that hold, in one coordinate, how much more
     often a subword occurs in documents of one label, so that the first windows are well chosen. One row in five is kept back to turn the top window's log-odds into a probability, weighted so
     that both labels count as often as in all rows. Without rows of both labels, all scores are those of no evidence.
     """
-    rows = labelled.where(col(text_col).isNotNull() & col(label_col).isin(0, 1) & (F.octet_length(col(text_col)) <= SAMPLE_BYTES))
-    counts = {int(r[0]): r[1] for r in rows.groupBy(col(label_col)).count().collect()}
+    good = docs.where(col(text_col).isNotNull())
+    keyed = good.select(col(id_col).alias("id"), sampling.key(id_col, text_col).alias("at"), F.least(F.octet_length(col(text_col)), F.lit(4 * PIECE)).alias("size"))
+    marked = labels.where(col(label_col).isin(0, 1)).select(col(id_col).alias("id"), col(label_col).cast("int").alias("label")).distinct()
+    pool = cut(keyed.join(marked, "id").select("label", "at", "size"))
+    counts = {r["label"]: r["n"] for r in pool.groupBy("label").agg(F.count("*").alias("n")).collect()}
     none = Model(np.zeros(BUCKETS, np.float32), 1.0, -4.0)
     if len(counts) < 2:
         return none
-    drawn = None
-    for label in (0, 1):
-        part = sampled(rows.where(col(label_col) == label), sample, id_col).select(col(label_col).cast("int").alias("label"), col(text_col).alias("text"), F.xxhash64(col(id_col)).alias("at"))
-        drawn = part if drawn is None else drawn.unionByName(part)
 
     def bag(label, text, at):
         ids, heard, sizes = [], [], []
-        for t in text.to_pylist():
-            i, owner, first, muted = word_bags(subword.Points([t], subword.inside_words()))
+        for t, k in zip(text, at, strict=True):
+            i, owner, first, muted = word_bags(subword.Points([sampling.piece(t, k, PIECE)], subword.inside_words()))
             sizes.append(np.bincount(owner, minlength=len(first)))
             ids.append(i[~muted[owner]])
             heard.append(np.where(muted, 0, sizes[-1]))
-        return label, at, lists(ids), lists(heard), lists(sizes)
+        return [pa.array(label, pa.int32()), at, lists(ids), lists(heard), lists(sizes)]
 
-    got = by_arrow(drawn, ["label", "text", "at"], bag, "label int, at long, ids array<int>, heard array<int>, sizes array<int>").toArrow().sort_by([("at", "ascending"), ("label", "ascending")])
+    got = sampling.taken(good, sampling.draw(pool, sample, SAMPLE_BYTES), "int", bag, "label int, at long, ids array<int>, heard array<int>, sizes array<int>", id_col, text_col)
     labels = np.array(got["label"].to_pylist())
     ids = [a for c in got["ids"].chunks for a in unlisted(c)]
     # Where each word's subwords end among those that are heard, and among all.

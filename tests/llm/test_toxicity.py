@@ -55,7 +55,7 @@ def test_odds_are_those_of_the_top_window():
 
 def test_learns_words_and_their_misspellings(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.train(docs.where("doc_id % 5 != 0"), sample=400)
+    model = toxicity.train(docs.select("doc_id", "text"), docs.where("doc_id % 5 != 0").select("doc_id", "toxic"), sample=400)
     rng = random.Random(11)
     long_toxic = doc(rng, False, 3000) + " you nastyfoo " + doc(rng, False, 3000)
     odd = [(9000, None), (9001, ""), (9002, "?!"), (9003, long_toxic), (9004, doc(rng, False, 6000)), (9005, doc(rng, False, 30) + " vilebarrt " + doc(rng, False, 9)), (None, "nastyfoo")]
@@ -70,5 +70,5 @@ def test_learns_words_and_their_misspellings(spark, rows):
 def test_nothing_to_learn(spark, rows):
     docs = spark.createDataFrame(rows[:4], "doc_id long, text string, toxic int")
     for part in (docs.limit(0), docs.where("toxic = 0")):
-        assert {r.predicted for r in toxicity.score(docs, toxicity.train(part)).collect()} == {0}
-    assert toxicity.score(docs.limit(0), toxicity.train(docs)).collect() == []
+        assert {r.predicted for r in toxicity.score(docs, toxicity.train(part, part)).collect()} == {0}
+    assert toxicity.score(docs.limit(0), toxicity.train(docs, docs)).collect() == []
