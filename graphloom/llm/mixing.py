@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, col, cut, fresh, partitions
+from .common import WORD, col, cut, fresh, partitions, row_hash
 
 #: A source's weight is the one at its place in code-point order (null last), the list repeating.
 WEIGHTS, SHARE, CAP, SEED = (3, 1, 2), 1.5, 2, "mix-1"
@@ -47,8 +47,8 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ca
     return t.select("source", "source_size", "weight", least.alias("target"))
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
-    """One row for each row of docs: (doc_id, source, text_hash, size, source_size, target, copies, taken).
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED, whole: bool = False) -> DataFrame:
+    """One row for each row of docs: (doc_id, source, hash, size, source_size, target, copies, taken).
 
     A document's expected copies are its source's target over its source's size. Within a source, documents stand in
     the order of (size, id); with the running sum of expected copies S and one offset u for the source, document k is
@@ -61,10 +61,11 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     Nulls: a null text and an empty one have size 0; null sources form one source, the last; null ids stand first
     among equal sizes. A source of size 0 has target 0 and gives nothing. Repeated rows each get their own copies.
-    An empty table gives none. Other columns of docs are not read.
+    Ties in (size, id) go by a hash of the text, or of all columns with `whole`. An empty table gives none. Other
+    columns of docs are not read otherwise.
     """
-    rows = docs.select(col(id_col).alias("doc_id"), col(source_col).cast("string").alias("source"), F.xxhash64(col(text_col)).alias("text_hash"), words(col(text_col)).alias("size"))
-    order = [F.col(c).asc_nulls_first() for c in ("size", "doc_id", "text_hash", "_row")]
+    rows = docs.select(col(id_col).alias("doc_id"), col(source_col).cast("string").alias("source"), (row_hash(docs) if whole else F.xxhash64(col(text_col))).alias("hash"), words(col(text_col)).alias("size"))
+    order = [F.col(c).asc_nulls_first() for c in ("size", "doc_id", "hash", "_row")]
     rows = rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(partitions(docs.sparkSession), F.col("source").asc_nulls_last(), *order)
     # The partition a row came to is read by two branches below, so it is stored.
     rows = cut(rows.withColumn("_part", F.spark_partition_id()))
@@ -78,31 +79,31 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     u = offset(F.col("source"), seed)
     copies = F.floor(rate * F.col("_rank") + u) - F.floor(rate * (F.col("_rank") - 1) + u)
-    return ranked.withColumn("copies", F.least(copies, F.lit(int(-(-cap // 1)))).cast("long")).select("doc_id", "source", "text_hash", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return ranked.withColumn("copies", F.least(copies, F.lit(int(-(-cap // 1)))).cast("long")).select("doc_id", "source", "hash", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """docs with every row as often as the mix takes it; the columns, extra ones included, stay as they are.
 
-    The copies are found on ids and sizes alone and joined to the whole rows by (id, source, hash of the text), so
-    texts are shuffled once. Rows that are alike in these three are one row here that is taken as often as all of
-    them together; map-side, one of them is kept before the shuffle, so a third of all rows may be the same row.
+    The copies are found on ids, sizes and hashes alone and joined to the whole rows by id and a hash of all columns,
+    so texts are shuffled once. Rows alike in every column are one row here that is taken as often as all of them
+    together; map-side, one of them is kept before the shuffle, so a third of all rows may be the same row. Nulls, ties
+    and empty tables as in plan_mix; reruns agree.
     """
-    keys = [fresh(docs, k) for k in ("id", "source", "hash", "n", "copies")]
-    plan = plan_mix(docs, id_col, text_col, source_col, **how)
-    plan = cut(plan.groupBy("doc_id", "source", "text_hash").agg(F.count("*").alias("n"), F.sum("copies").alias("copies")).where("copies > 0")).toDF(*keys)
-    on = col(id_col).eqNullSafe(F.col(keys[0])) & col(source_col).cast("string").eqNullSafe(F.col(keys[1])) & (F.xxhash64(col(text_col)) == F.col(keys[2]))
+    keys = [fresh(docs, k) for k in ("id", "hash", "n", "copies")]
+    plan = plan_mix(docs, id_col, text_col, source_col, whole=True, **how)
+    plan = cut(plan.groupBy("doc_id", "hash").agg(F.count("*").alias("n"), F.sum("copies").alias("copies")).where("copies > 0")).toDF(*keys)
+    hashed, again = fresh(docs, "of"), fresh(docs, "again")
+    docs = docs.withColumn(hashed, row_hash(docs))
+    on = col(id_col).eqNullSafe(F.col(keys[0])) & (F.col(hashed) == F.col(keys[1]))
 
     def taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
-        again = fresh(rows, "again")
-        return rows.join(plan, on).withColumn(again, F.explode(F.sequence(F.lit(1), F.col(keys[4]).cast("int")))).select(*(col(c) for c in docs.columns))
+        return rows.join(plan, on).withColumn(again, F.explode(F.sequence(F.lit(1), F.col(keys[3]).cast("int")))).select(*(col(c) for c in docs.columns if c != hashed))
 
-    alone, several = plan.where(F.col(keys[3]) == 1), plan.where(F.col(keys[3]) > 1)
+    alone, several = plan.where(F.col(keys[2]) == 1), plan.where(F.col(keys[2]) > 1)
     if several.isEmpty():
         return taken(docs, plan)
-    key = fresh(docs, "key")
-    same = docs.join(several, on, "left_semi").withColumn(key, F.struct(col(id_col), col(source_col), F.xxhash64(col(text_col)))).dropDuplicates([key]).drop(key)
-    return taken(docs, alone).unionByName(taken(same, several))
+    return taken(docs, alone).unionByName(taken(docs.join(several, on, "left_semi").dropDuplicates([hashed]), several))
 
 
 #: The same rows in DuckDB's SQL.

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected
-from .common import bounded, by_batch, col, cut, fresh, partitions
+from .common import bounded, by_batch, col, cut, few, fresh, partitions, row_hash
 
 #: Words of a shingle, and the differing bits up to which fingerprints link.
 WORDS, BITS, SEED = 4, 4, 42
@@ -49,14 +49,15 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, fp, text_hash) of every row: the fingerprint of the whole text as a signed long, zero without a word."""
-    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), F.xxhash64(col(text_col)).alias("text_hash"))
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, whole: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row: the fingerprint of the whole text as a signed long, zero without a word; whole adds row_hash and text_hash."""
+    hashes = {"text_hash": F.xxhash64(col(text_col)), "row_hash": row_hash(docs)} if whole else {}
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), *(c.alias(n) for n, c in hashes.items()))
 
-    def run(doc_id, text, text_hash):
-        return doc_id, [signed(majority(shingle_hashes(t, words))) for t in text], text_hash
+    def run(doc_id, text, *more):
+        return doc_id, [signed(majority(shingle_hashes(t, words))) for t in text], *more
 
-    return by_batch(rows, ["doc_id", "text", "text_hash"], run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long, text_hash long")
+    return by_batch(rows, ["doc_id", "text", *hashes], run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long" + "".join(f", {n} long" for n in hashes))
 
 
 def masks(blocks: int, agree: int) -> list[int]:
@@ -179,16 +180,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(found, "fp").select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one row of each component: that with the smallest id (then the smallest hash of its text). All columns stay."""
-    words = how.pop("words", WORDS)
-    prints = cut(fingerprints(docs, id_col, text_col, words))
-    found = prints.join(classes(prints, **how), "fp")
-    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k")
-    kept = found.groupBy("group").agg(one).select("k.doc_id", "k.text_hash")
-    names = [fresh(docs, "id"), fresh(docs, "hash")]
-    kept = kept.toDF(*names)
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, **how) -> DataFrame:
+    """docs with one row of each component, all columns as they are: that with the smallest id, null ids last.
+
+    Ties among rows of one id go to the smallest hash of the text, then of the whole row, so reruns agree; of rows alike
+    in every column one stays. Texts without a word are one component, so one of them stays. Other columns may have any
+    name and type. An empty table stays empty. Decisions are made on ids and hashes; rows that go are usually few, and
+    then no text is shuffled: their keys are broadcast if they are FEW at most, else joined.
+    """
+    prints = fingerprints(docs, id_col, text_col, words, whole=True)
+    # Rows alike in every column are one key here, so that a third of all rows may be the same.
+    keys = cut(prints.groupBy("doc_id", "text_hash", "row_hash").agg(F.any_value("fp").alias("fp"), F.count("*").alias("n")))
+    one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "row_hash")
+    least = keys.groupBy("fp").agg(F.min(one).alias("k")).join(classes(keys, **how), "fp").groupBy("group").agg(F.min("k").alias("k"))
+    best = least.select(F.col("k.doc_id").alias("_id"), F.col("k.row_hash").alias("_row"), F.lit(True).alias("stays"))
+    judged = keys.join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_hash") == F.col("_row")), "left")
+    names = [fresh(docs, k) for k in ("id", "row", "stays")]
+    others = cut(judged.where("stays is null or n > 1").select("doc_id", "row_hash", "stays").toDF(*names))
     hashed = fresh(docs, "of")
-    rows = docs.withColumn(hashed, F.xxhash64(col(text_col)))
-    rows = rows.join(kept, col(id_col).eqNullSafe(F.col(names[0])) & (F.col(hashed) == F.col(names[1])), "left_semi")
-    return rows.dropDuplicates([id_col, hashed]).drop(hashed)
+    rows, on = docs.withColumn(hashed, row_hash(docs)), col(id_col).eqNullSafe(F.col(names[0])) & (F.col(hashed) == F.col(names[1]))
+    single, several = rows.join(few(others), on, "left_anti"), others.where(F.col(names[2]))
+    if not several.isEmpty():
+        single = single.unionByName(rows.join(few(several), on, "left_semi").dropDuplicates([hashed]))
+    return single.drop(hashed)
