@@ -7,10 +7,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, col
+from .common import arrow_schema, bounded, by_batch, col, sliced
 
 #: Codes have 12 bits at most.
 _FULL = 4096
@@ -160,22 +161,28 @@ def _rows(height: int) -> list[int]:
     return [y for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for y in range(first, height, step)]
 
 
-def decode(data: bytes) -> Iterator[Frame]:
-    """The frames of a GIF in order, composed as a player shows them. ValueError if it isn't one or breaks off.
+#: Pixels of a canvas or picture at most: larger ones are an error, as a few bytes may claim gigabytes.
+PIXELS = 1 << 26
+
+
+def decode(data: bytes, most: int = PIXELS) -> Iterator[Frame]:
+    """The frames of a GIF in order, composed as a player shows them. ValueError if it isn't one, breaks off, or has over `most` pixels.
 
     A transparent index leaves what is below. Before the next frame, disposal 2 clears the frame's rectangle to
     transparent, 3 brings back what was there before the frame, and others leave it.
     """
     try:
-        yield from _decode(data)
+        yield from _decode(data, most)
     except (IndexError, struct.error) as e:
         raise ValueError("the data break off") from e
 
 
-def _decode(data: bytes) -> Iterator[Frame]:
+def _decode(data: bytes, most: int) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     wide, high, flags = struct.unpack_from("<HHB", data, 6)
+    if wide * high > most:
+        raise ValueError(f"a canvas of {wide} x {high}")
     shared, at = _palette(data, 13, flags)
     canvas = np.zeros((high, wide, 4), np.uint8)
     delay, disposal, clear_index = 0, 0, None
@@ -193,6 +200,8 @@ def _decode(data: bytes) -> Iterator[Frame]:
             own, at = _palette(data, at + 10, flags)
             palette = own if own is not None else shared
             bits = data[at]
+            if w * h > most:
+                raise ValueError(f"a picture of {w} x {h}")
             if palette is None or not 1 <= bits <= 8:
                 raise ValueError("no palette or no code size")
             codes, at = _blocks(data, at + 1)
@@ -246,26 +255,29 @@ def histogram(rgba: np.ndarray, bins: int = 8) -> list[int]:
     return [int(n) for c in range(3) for n in np.bincount(seen[:, c].astype(np.int64) * bins // 256, minlength=bins)]
 
 
-def frames(media: DataFrame, id_col: str, data_col: str) -> DataFrame:
+def frames(media: DataFrame, id_col: str, data_col: str, most: int = PIXELS) -> DataFrame:
     """One row (id, frame, start_ms, delay_ms, width, height, rgba, histogram, error) for each frame of each GIF.
 
-    What is null, empty, or not a whole GIF gives one row with the error and nulls, after the frames before the fault.
-    Repeated rows give theirs each; other columns are not read; an empty table gives none.
+    What is null, empty, not a whole GIF, or larger than `most` pixels gives one row with the error and nulls, after the
+    frames before the fault. Frames are returned one by one, so a task holds one, however many a file has. Repeated rows
+    give theirs each; other columns are not read; an empty table gives none.
     """
     named = media.select(col(id_col).alias("id"), col(data_col).alias("data"))
-    kind = "frame int, start_ms int, delay_ms int, width int, height int, rgba binary, histogram array<int>, error string"
-
-    def run(key, data):
-        rows = []
-        for k, d in zip(key, data, strict=True):
-            try:
-                for f in decode(d or b""):
-                    rows.append((k, f.index, f.start_ms, f.delay_ms, f.rgba.shape[1], f.rgba.shape[0], f.rgba.tobytes(), histogram(f.rgba), None))
-            except ValueError as e:
-                rows.append((k, *[None] * 7, str(e)))
-        return list(zip(*rows, strict=True)) if rows else [[] for _ in range(9)]
-
-    return by_batch(named, ["id", "data"], run, f"id {named.schema['id'].dataType.simpleString()}, {kind}")
+    schema = f"id {named.schema['id'].dataType.simpleString()}, frame int, start_ms int, delay_ms int, width int, height int, rgba binary, histogram array<int>, error string"
+    types = arrow_schema(schema)
+
+    def run(batches):
+        for b in sliced(batches):
+            for k in range(b.num_rows):
+                row = lambda *values, key=b.column(0).slice(k, 1): pa.RecordBatch.from_arrays([key, *(pa.array([v], t.type) for v, t in zip(values, list(types)[1:], strict=True))], schema=types)
+                try:
+                    for f in decode(b.column(1)[k].as_py() or b"", most):
+                        yield row(f.index, f.start_ms, f.delay_ms, f.rgba.shape[1], f.rgba.shape[0], f.rgba.tobytes(), histogram(f.rgba), None)
+                except ValueError as e:
+                    yield row(*[None] * 7, str(e))
+
+    bounded(media.sparkSession)
+    return named.mapInArrow(run, schema)
 
 
 def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
