@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import store
-from .common import bounded, col, cut, partitions, shared_dir, sliced
+from .common import bounded, col, cut, partitions, sliced
 from .tokenfile import opened
 
 #: The base: n-grams are of ORDER classes out of 2^BITS, so it has 2^(ORDER * BITS) entries at most, whatever the corpus.
@@ -509,8 +509,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     bounded(spark)
     ranked = characters(rows)
     parts = max(partitions(spark), rows._jdf.rdd().getNumPartitions() // 4)
-    folder = f"{shared_dir(spark).rstrip('/')}/quality-{uuid.uuid4().hex}"
-    store._written.append(folder)
+    folder = store.folder(spark, "quality")
     files = answered(cut(gathered(rows, ranked, parts)), Spelling(ranked), folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
