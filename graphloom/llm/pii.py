@@ -1,4 +1,8 @@
-"""Personal data replaced by format-preserving pseudonyms: keyed permutations of validated values within their format."""
+"""Personal data replaced by format-preserving pseudonyms: keyed permutations of validated values within their format.
+
+A permutation of N values leaves a given one as it is with a chance of 1 in N, so a value of a small format (four one-digit
+octets have 10,000) may by such chance stay in the text.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +10,13 @@ import datetime
 import hashlib
 import hmac
 import re
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import by_batch, col, through
 
@@ -163,26 +168,31 @@ _FIRST, _DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1)
 
 
 def date(text: str, key: bytes, back: bool) -> str | None:
-    """yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy and mm/dd/yyyy (or dd/mm/yyyy where only that is a date) with real days."""
-    a, b, c = (int(p) for p in re.split(r"\D", text))
-    mark = text[4] if text[:4].isdigit() else text[2]
-    order = "ymd" if text[:4].isdigit() else "dmy" if mark in ".-" or a > 12 else "mdy"
+    """yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, dd-mm-yyyy and mm/dd/yyyy (or dd/mm/yyyy where only that is a date) with real days; one digit will do between slashes and dashes.
+
+    A day has one pseudonym in all of these. It is a day of the same kind: month and day have as many digits, and the
+    day is over 12 or not, so each format can write it in the same length and is read the same again.
+    """
+    a, b, c = re.split(r"\D", text)
+    first = len(a) == 4
+    mark = text[4] if first else text[len(a)]
+    order = "ymd" if first else "dmy" if mark in ".-" or int(a) > 12 else "mdy"
     part = dict(zip(order, (a, b, c), strict=True))
     try:
-        day = datetime.date(part["y"], part["m"], part["d"])
+        day = datetime.date(*(int(part[k]) for k in "ymd"))
     except ValueError:
         return None
     if not 0 <= day.toordinal() - _FIRST < _DAYS:
         return None
-    # Slashes read as months first only if the first number can be one: such dates are permuted among those of the same kind.
-    kind = b"first-over-12" if mark == "/" and order == "dmy" else b"first-to-12" if order == "mdy" else b""
-    x = day.toordinal() - _FIRST
-    while True:
-        x = feistel(x, _DAYS, key + kind, back)
-        new = datetime.date.fromordinal(_FIRST + x)
-        if kind != b"first-over-12" or new.day > 12:
-            break
-    return mark.join({"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}[k] for k in order)
+    kind, new = _day_kind(day), day
+    while new is day or _day_kind(new) != kind:
+        new = datetime.date.fromordinal(_FIRST + feistel(new.toordinal() - _FIRST, _DAYS, key + kind, back))
+    said = {"y": new.year, "m": new.month, "d": new.day}
+    return mark.join(f"{said[k]:0{len(part[k])}d}" for k in order)
+
+
+def _day_kind(day: datetime.date) -> bytes:
+    return bytes([day.month > 9, (day.day > 9) + (day.day > 12)])
 
 
 _KINDS = (("0123456789", "0"), ("abcdefghijklmnopqrstuvwxyz", "a"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A"))
@@ -234,7 +244,7 @@ def access_key(text: str, key: bytes, back: bool) -> str:
 
 
 def password(text: str, key: bytes, back: bool) -> str:
-    at = re.match(r"[A-Za-z_]+\s*[:=]\s*[\"']?", text).end()
+    at = re.match(r"[A-Za-z0-9_\-]+\s*[:=]\s*[\"']?", text).end()
     value = text[at:]
     return text[:at] + (hexadecimal(value, key, back) if re.fullmatch(r"[0-9a-f]{8,}|[0-9A-F]{8,}", value) else scramble(value, key, back))
 
@@ -242,20 +252,22 @@ def password(text: str, key: bytes, back: bool) -> str:
 #: Each kind with its pattern and function, in the order in which they are tried at a place. What the formats are.
 KINDS: dict[str, tuple[str, Callable[[str, bytes, bool], str | None]]] = {
     "email": (r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])", email),
-    "secret": (r"(?i:password|passwd|pwd|secret|secret_?key|api_?key|token)\s{0,3}[:=]\s{0,3}[\"']?(?=[A-Za-z_\-/+]{0,127}[0-9])[A-Za-z0-9_\-/+]{8,128}", password),
+    "secret": (r"(?i:(?:[a-z0-9]{1,16}[_\-]){0,3}(?:password|passwd|pwd|secret[_\-]?key|secret|api[_\-]?key|token))\s{0,3}[:=]\s{0,3}[\"']?(?=[A-Za-z_\-/+]{0,127}[0-9])[A-Za-z0-9_\-/+]{8,128}", password),
     "access_key": (r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])", access_key),
     "iban": (r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])", iban),
     "ipv4": (r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9])", ipv4),
-    "date": (r"(?:[0-9]{4}(?P<mark>[\-/])[0-9]{2}(?P=mark)[0-9]{2}|[0-9]{2}(?P<mark2>[./\-])[0-9]{2}(?P=mark2)[0-9]{4})(?![0-9])", date),
+    "date": (r"(?:[0-9]{4}(?P<mark>[\-/])[0-9]{1,2}(?P=mark)[0-9]{1,2}|[0-9]{1,2}(?P<mark2>[/\-])[0-9]{1,2}(?P=mark2)[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9])", date),
     "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])", ssn),
-    "card": (r"[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])", card),
+    "card": (r"[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])|[0-9](?:[ \-]?[0-9]){12,18}(?=[ \-][0-9])", card),
     "phone": (r"(?:\+?1[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])|\+1[0-9]{10}(?![0-9])", phone),
     "phone_abroad": (r"\+[2-9](?:[ .\-()]{0,2}[0-9]){8,14}(?![0-9])", phone_abroad),
 }
 _COMPILED = {k: re.compile(p) for k, (p, _) in KINDS.items()}
+#: Kinds whose longest match may take in what follows the value: where it isn't valid, shorter ones are tried, that end before a space or dash.
+_SHORTER = {"card": re.compile(r"[ \-]"), "iban": re.compile(" ")}
 _ANY = re.compile("|".join(p for p, _ in KINDS.values()))
 #: Every value holds one of these within _BACK places of its start, so text far from them is passed over.
-_MARK, _BACK = re.compile(r"[0-9@A](?:(?<=[0-9@])|(?<=A)[KS]IA)"), 160
+_MARK, _BACK = re.compile(r"[0-9@A](?:(?<=[0-9@])|(?<=A)[KS]IA)"), 208
 #: Where a value may start: not inside a word or number.
 _START = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9(+]")
 
@@ -293,9 +305,11 @@ def find(text: str | None, secret: bytes, back: bool = False) -> Iterator[Found]
 def _valid(text: str, start: int, secret: bytes, back: bool) -> Found | None:
     for kind, (_, pseudonym) in KINDS.items():
         if (m := _COMPILED[kind].match(text, start)) and not (kind == "ipv4" and re.search(r"[0-9]\.$", text[max(0, start - 2) : start])):
-            new = pseudonym(m[0], derived(secret, kind), back)
-            if new is not None:
-                return Found(start, m.end(), kind, m[0], new)
+            ends = [len(m[0]), *(x.start() for x in reversed(list(_SHORTER[kind].finditer(m[0]))))] if kind in _SHORTER else [len(m[0])]
+            for end in ends:
+                new = pseudonym(m[0][:end], derived(secret, kind), back)
+                if new is not None:
+                    return Found(start, start + end, kind, m[0][:end], new)
     return None
 
 
@@ -305,12 +319,25 @@ def replaced(text: str | None, secret: bytes, back: bool = False) -> str | None:
     return _joined(text, list(find(text, secret, back)))
 
 
+#: The session's setting that has the secret, and what is used where it is unset: no secret, as anyone can read it here.
+SETTING, EXAMPLE = "spark.graphloom.pii.secret", b"example key, known to all"
+
+
+def secret_of(spark: SparkSession) -> bytes:
+    """The secret from the session's settings; without one a warning and the example, whose pseudonyms anyone can undo."""
+    found = spark.conf.get(SETTING, None)
+    if found is None:
+        warnings.warn(f"{SETTING} is not set: pseudonyms are made with a key that is known to all", stacklevel=2)
+    return EXAMPLE if found is None else found.encode()
+
+
 def pseudonymise(docs: DataFrame, secret: bytes, text_col: str = "text", back: bool = False) -> DataFrame:
     """docs with each validated value in the text replaced by its pseudonym; back undoes it. All columns and rows stay.
 
-    A value's pseudonym depends on the key, its kind and its format alone, so equal values stay linked across
-    documents, and different ones stay different. Cards keep their length and a right check digit, dates stay dates,
-    addresses and phone numbers stay ones, so texts keep their lengths. Null and empty texts stay. Extra columns,
+    A value's pseudonym depends on the key, its kind and its format alone (a day's not on the format of the date), so
+    equal values stay linked across documents, and different ones stay different. Cards keep their length and a right check digit, dates stay dates,
+    addresses and phone numbers stay ones, so texts keep their lengths. back finds the pseudonyms as values are found, so
+    it misses one after which digits stand that by chance make it part of a longer valid number. Null and empty texts stay. Extra columns,
     whatever their names, and repeated rows stay. An empty table stays empty. Rows aren't moved: no shuffle.
     """
     place = docs.columns.index(text_col)

@@ -42,12 +42,8 @@ def encoded(docs: DataFrame) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-#: The key of the pseudonyms in these queries; a real run passes its own.
-SECRET = b"key of the registered queries"
-
-
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(documents(spark, sf_dir), SECRET)
+    return pii.report(documents(spark, sf_dir), pii.secret_of(spark))
 
 
 def op7_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
