@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import langid, mixing, pii, queries, simhash
-from graphloom.llm.common import cut
+from graphloom.plans.store import clear, settled
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms in place of personal data. Texts keep their lengths, so n_chars stays right."""
-    return pii.pseudonymise(docs, queries.SECRET)
+    return pii.pseudonymise(docs, pii.secret_of(spark))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +41,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is stored as Parquet in the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; what each returns is stored as Parquet in the shared folder and read again.
+
+    A stage's table is deleted when the next one is stored; the last of them, which the result reads, when the caller
+    calls plans.store.clear.
+    """
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        old = path
+        docs, path = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if old:
+            clear(spark, [old])
     return STAGES[-1][1](spark, docs, sf_dir)
