@@ -3,7 +3,6 @@ import random
 import struct
 import zlib
 
-import numpy as np
 import pytest
 
 from graphloom.llm import gif
@@ -70,6 +69,62 @@ def test_disposal_transparency_palettes_and_time():
     assert gif.histogram(f[3].rgba) == [1, 0, 0, 0, 0, 0, 0, 2, 2, 0, 0, 0, 0, 0, 0, 1, 3, 0, 0, 0, 0, 0, 0, 0]
 
 
+def plain(data):
+    """(width, height, [indexes of each picture]) of a GIF with a shared palette, read bit by bit."""
+    w, h, flags = struct.unpack_from("<HHB", data, 6)
+    at, out = 13 + 3 * (2 << (flags & 7)), []
+    while data[at] != 0x3B:
+        if data[at] == 0x21:
+            at += 2
+            while data[at]:
+                at += 1 + data[at]
+            at += 1
+            continue
+        bits, at, stream = data[at + 10], at + 11, b""
+        while data[at]:
+            stream += data[at + 1 : at + 1 + data[at]]
+            at += 1 + data[at]
+        at += 1
+        whole, place, table, last, samples, width = int.from_bytes(stream, "little"), 0, {}, None, [], bits + 1
+        while True:
+            code = whole >> place & (1 << width) - 1
+            place += width
+            if code == (1 << bits) + 1:
+                break
+            if code == 1 << bits:
+                table, last, width = {i: [i] for i in range(1 << bits)}, None, bits + 1
+                continue
+            word = table[code] if code in table else last + last[:1]
+            if last is not None and len(table) + 2 < 4096:
+                table[len(table) + 2] = last + word[:1]
+                width = min(12, max(width, (len(table) + 2).bit_length()))
+            samples += word
+            last = word
+        out.append(bytes(samples))
+    return w, h, out
+
+
+@pytest.mark.parametrize("size", [64, 6400, 64 * 5000])
+def test_another_decoder_reads_what_is_stored(size):
+    rng = random.Random(size)
+    payload = bytes(rng.choices(b"the quick \xff\x00brown fox", k=size)) if size < 10_000 else rng.randbytes(20_000) * (size // 20_000)
+    w, h, pictures = plain(gif.pack(payload))
+    assert b"".join(pictures) == payload and w == 64 and h == min(4096, size // 64) and len(pictures) == -(-size // (64 * 4096))
+
+
+def test_a_canvas_is_bounded(spark):
+    huge = picture(65535, 65535, [])
+    wide = picture(2, 2, [(0, 0, 2, 2, [1, 2, 3, 0], 0, None, 4, False, None)])
+    bad = wide[: wide.index(b"\x2c")] + b"\x2c" + struct.pack("<HHHHB", 0, 0, 65535, 65535, 0) + wide[wide.index(b"\x2c") + 10 :]
+    for data in (huge, bad):
+        with pytest.raises(ValueError, match="65535"):
+            list(gif.decode(data))
+    media = spark.createDataFrame([(1, bytearray(huge)), (2, bytearray(bad)), (3, bytearray(wide))], "id long, data binary")
+    got = {(r.id, r.frame): r.error for r in gif.frames(media, "id", "data").collect()}
+    assert got[3, 0] is None and "65535" in got[1, None] and "65535" in got[2, None] and len(got) == 3
+    assert [r.error for r in gif.frames(media.where("id = 3"), "id", "data", most=3).collect()] == ["a canvas of 2 x 2"]
+
+
 def test_interlaced_rows():
     rows = list(range(4)) * 3
     stored = [rows[y] for y in [0, 8, 4, 2, 6, 10, 1, 3, 5, 7, 9, 11]]
@@ -105,4 +160,16 @@ def test_payloads_come_back(spark, monkeypatch, height):
         full = data.ljust(max(1, -(-len(data) // 64)) * 64, b"\0")
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
         assert r.media_sha256 == hashlib.sha256(gif.pack(full)).hexdigest() and r.media_bytes == len(gif.pack(full))
-    assert gif.features(gif.stored(docs.limit(0))).collect() == [] and np.array([1]).size == 1
+        pictures = plain(gif.pack(full))[2]
+        grey = [sum(b * 8 // 256 == k for b in full) for k in range(8)]
+        assert r.feature == f"64x{len(pictures[0]) // 64} frames={len(pictures)} ms={100 * len(pictures)} grey={','.join(map(str, grey))}"
+
+
+def test_a_payload_of_several_frames_through_the_tables(spark):
+    text = "0123456789abcdef" * 40_000
+    r = gif.features(gif.stored(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (640_000, 640_000, hashlib.sha256(text.encode()).hexdigest()) and "frames=3 " in r.feature
+
+
+def test_nothing(spark):
+    assert gif.features(gif.stored(spark.createDataFrame([], "doc_id long, text string"))).collect() == []

@@ -78,6 +78,23 @@ def test_rows_come_out_as_often_as_planned(spark, rows):
     assert Counter(r.doc_id for r in got) == +plan and {(r.doc_id, r.text, r.source) for r in got} <= set(rows)
 
 
+def test_rows_that_differ_elsewhere_are_told_apart(spark):
+    rows = [(i % 5, f"w {i % 5}", "s", k, None if k % 3 else {"a": k}) for i in range(10) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `of.it` int, more map<string,int>")
+    outs = [sorted(map(repr, mixing.mix(d).collect())) for d in (docs, docs.repartition(5), docs.orderBy(docs["`of.it`"].desc()))]
+    assert outs[0] == outs[1] == outs[2]
+    # One source takes 1.5 times its words: each of the 40 different rows stands twice, and is taken twice to four times.
+    seen = Counter(outs[0])
+    assert len(seen) == 40 and set(seen.values()) <= {2, 3, 4} and sum(seen.values()) == 120
+
+
+def test_very_long_texts(spark):
+    docs = spark.createDataFrame([(i, "ab " * (200_000 if i == 3 else 5), "s") for i in range(6)], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.plan_mix(docs).collect()}
+    assert got[3]["size"] == 200_000 and {r.source_size for r in got.values()} == {200_025}
+    assert sum(r.taken for r in got.values()) == sum(len(r.text.split()) for r in mixing.mix(docs).collect())
+
+
 def test_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.plan_mix(docs).collect() == [] and mixing.mix(docs).collect() == []

@@ -44,6 +44,57 @@ def test_what_is_not_valid_stays(text):
     assert pii.replaced(text, KEY) == text
 
 
+def test_a_day_has_one_pseudonym_in_all_formats():
+    for y, m, d in ((1999, 12, 11), (1999, 12, 31), (2024, 2, 29), (2004, 7, 4), (1950, 1, 10), (1987, 10, 3)):
+        said = [f"{y}-{m:02d}-{d:02d}", f"{y}/{m:02d}/{d:02d}", f"{d:02d}.{m:02d}.{y}", f"{d:02d}-{m:02d}-{y}", f"{d:02d}/{m:02d}/{y}" if d > 12 else f"{m:02d}/{d:02d}/{y}", f"{y}-{m}-{d}", f"{d}/{m}/{y}" if d > 12 else f"{m}/{d}/{y}"]
+        days = set()
+        for text in said:
+            new = pii.replaced(text, KEY)
+            assert len(new) == len(text) and pii.replaced(new, KEY, back=True) == text
+            a, b, c = (int(x) for x in pii.re.split(r"\D", new))
+            days.add((a, b, c) if a > 31 else (c, b, a) if "/" not in new or a > 12 else (c, a, b))
+        assert len(days) == 1
+    days = [f"{y}-{m:02d}-{d:02d}" for y in (1999, 2020) for m in range(1, 13) for d in range(1, 29)]
+    assert len({pii.replaced(x, KEY) for x in days}) == len(days)
+
+
+@pytest.mark.parametrize("text,old", [("4111 1111 1111 1111 12/27", "4111 1111 1111 1111"), ("no 4111-1111-1111-1111-123.", "4111-1111-1111-1111"), ("to GB82 WEST 1234 5698 7654 32 BY", "GB82 WEST 1234 5698 7654 32"),
+                                      ("DB_PASSWORD=abc12345xyz", "DB_PASSWORD=abc12345xyz"), ("my-api-key: a1b2c3d4e5", "my-api-key: a1b2c3d4e5"), ("on 7/4/1999 at", "7/4/1999")])
+def test_values_beside_others(text, old):
+    assert [f.old for f in pii.find(text, KEY)] == [old] and old not in pii.replaced(text, KEY)
+
+
+def everywhere(text, key):
+    """find() by a look at every place."""
+    at, out = 0, []
+    while at < len(text):
+        start = pii.re.match("[A-Za-z0-9(+]", text[at]) and not (at and pii.re.match("[A-Za-z0-9_]", text[at - 1]))
+        if start and (hit := pii._valid(text, at, key, False)):
+            out.append(hit)
+            at = hit.end
+        else:
+            at += 1
+    return out
+
+
+def test_no_place_is_passed_over():
+    rng = random.Random(12)
+    bits = [*VALUES, "a" * 70, "x_" * 40, "secret = " + "q" * 120 + "7", "long-api-key_token=" + "a_-" * 30 + "1abc", "AK", "+", "(", "@", "12", "2024-02-30", " ", ", ", "\n", "word", "é", "A_1=", "pwd:", "999.1.1.1", "1.2.3.4.5"]
+    for _ in range(400):
+        text = "".join(rng.choice(bits) + rng.choice(["", " ", "", " ", "-", "."]) for _ in range(rng.randint(1, 12)))
+        assert list(pii.find(text, KEY)) == everywhere(text, KEY)
+
+
+def test_the_secret_is_a_setting(spark):
+    with pytest.warns(UserWarning, match="known to all"):
+        assert pii.secret_of(spark) == pii.EXAMPLE
+    spark.conf.set(pii.SETTING, "mine")
+    try:
+        assert pii.secret_of(spark) == b"mine"
+    finally:
+        spark.conf.unset(pii.SETTING)
+
+
 def test_long_text_is_linear():
     rng = random.Random(3)
     text = "".join(rng.choice("0123456789 .-ab@") for _ in range(60_000)) + "A" * 50_000 + "1" * 50_000 + " bosbt.42@mail8.example.com"

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from graphloom.llm import simhash
 from graphloom.operators import components
@@ -105,6 +106,21 @@ def test_components_and_deduplication(spark):
     assert simhash.near_duplicates(docs.limit(0)).collect() == [] and simhash.deduplicated(docs.limit(0)).collect() == []
 
 
+def test_ties_and_very_long_texts(spark, monkeypatch):
+    rng = random.Random(16)
+    long = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(60_000))
+    rows = [(1, long, "x", None), (1, long, None, "x"), (2, long + " end", "y", "y"), (3, "other words than those", "z", "z"), (3, "other words than those", "z", "z"), (3, "other words than those", "z", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, `of.it` string")
+    assert {r.component_id for r in simhash.near_duplicates(docs).collect()} == {1, 3}
+    first = sorted(map(repr, simhash.deduplicated(docs).collect()))
+    assert len(first) == 2 and sorted(map(repr, simhash.deduplicated(docs.repartition(5)).collect())) == first
+    # Beyond the bound of what is broadcast the same rows stay.
+    monkeypatch.setattr("graphloom.llm.common.FEW", 0)
+    assert sorted(map(repr, simhash.deduplicated(docs).collect())) == first
+    wide = docs.withColumn("more", F.create_map(F.lit("k"), F.lit(1)))
+    assert simhash.deduplicated(wide).schema == wide.schema and simhash.deduplicated(wide).count() == 2
+
+
 def test_spanning_in_blocks():
     rng = np.random.default_rng(7)
     base = rng.integers(0, 2**63, dtype=np.uint64)
