@@ -17,7 +17,8 @@ def copurchase(spark: SparkSession, sf_dir: str) -> Graph:
     """Parts in one order, the smaller to the larger id."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
     a, b = lines.withColumnRenamed("l_partkey", "src"), lines.withColumnRenamed("l_partkey", "dst")
-    return Graph.from_edges(a.join(b, "l_orderkey").where("src < dst").select("src", "dst").distinct())
+    # Stored, as the largest id and the algorithms read them apart.
+    return Graph.from_edges(stored(a.join(b, "l_orderkey").where("src < dst").select("src", "dst").distinct()))
 
 
 def customer_supplier(spark: SparkSession, sf_dir: str) -> Graph:
