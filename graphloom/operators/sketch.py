@@ -8,13 +8,13 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import fnv1a_int, leading_zeros, modulo, signed, with_fnv1a
+from ..functions.hashing import fnv1a, fnv1a_int, leading_zeros, modulo, signed
 from ..plans.graph import Graph
 
 
 def hll_registers(items: DataFrame, key: str, item: str, precision: int = 10) -> DataFrame:
     """(key, idx, rho): the top bits of an item's hash name a register, which keeps the most leading zeros of the rest, plus one."""
-    seen = with_fnv1a(items.select(F.col(key).alias("key"), F.col(item).cast("long").alias("_item")).distinct(), "_item", "_h")
+    seen = items.select(F.col(key).alias("key"), F.col(item).cast("long").alias("_item")).distinct().select("key", fnv1a(F.col("_item")).alias("_h"))
     rho = leading_zeros(F.shiftleft("_h", precision)) + 1
     return seen.groupBy("key", F.shiftrightunsigned("_h", 64 - precision).cast("int").alias("idx")).agg(F.max(rho).cast("int").alias("rho"))
 
@@ -58,7 +58,7 @@ def cms_cells(items: DataFrame, item: str, width: int, depth: int) -> DataFrame:
     """items once for each row of the sketch, with that row and the item's col in it."""
     each = F.explode(F.array(*(F.struct(F.lit(i).alias("row"), F.lit(signed(s)).alias("seed")) for i, s in enumerate(seeds(depth)))))
     mixed = items.withColumn("_each", each).select(*items.columns, "_each.row", F.col(item).bitwiseXOR(F.col("_each.seed")).alias("_mixed"))
-    return with_fnv1a(mixed, "_mixed", "_hash").select(*items.columns, "row", modulo(F.col("_hash"), width).alias("col"))
+    return mixed.withColumn("_hash", fnv1a(F.col("_mixed"))).select(*items.columns, "row", modulo(F.col("_hash"), width).alias("col"))
 
 
 def cms_build(items: DataFrame, item: str, count: Column | None = None, width: int = 2048, depth: int = 5) -> DataFrame:

@@ -7,14 +7,14 @@ import struct
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import modulo, with_fnv1a
+from ..functions.hashing import fnv1a, modulo
 from ..plans.graph import Graph
 
 
 def with_default_weight(edges: DataFrame) -> DataFrame:
     """edges with `weight`: as given, or else from 1 to 10 fixed by the two ends, wherever and in whatever order the edge is read."""
-    keyed = edges.withColumn("_key", F.shiftleft("src", 32).bitwiseXOR(F.col("dst")))
-    return with_fnv1a(keyed, "_key", "_hash").withColumn("weight", F.coalesce("given", 1 + 9 * modulo(F.col("_hash"), 1_000_000) / 1e6))
+    hashed = edges.withColumn("_hash", fnv1a(F.shiftleft("src", 32).bitwiseXOR(F.col("dst"))))
+    return hashed.withColumn("weight", F.coalesce("given", 1 + 9 * modulo(F.col("_hash"), 1_000_000) / 1e6))
 
 
 def read_edgelist(spark: SparkSession, path: str, dense: bool = True, mtx: bool = False) -> Graph:
