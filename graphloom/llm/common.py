@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -14,7 +16,7 @@ from pyspark.sql.types import StructType
 from ..plans.store import shared_dir
 from ..plans.store import stored as cut
 
-__all__ = ["arrow_schema", "bounded", "by_arrow", "by_batch", "col", "cut", "few", "fresh", "lists", "partitions", "row_hash", "shared_dir", "sliced", "slices", "through", "unlisted"]
+__all__ = ["arrow_schema", "bounded", "by_arrow", "by_batch", "col", "cut", "few", "fresh", "lists", "partitions", "released", "row_hash", "shared_dir", "sliced", "slices", "through", "unlisted"]
 
 #: What counts as a word wherever an operator splits on white space: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -130,6 +132,16 @@ def sliced(batches: Iterable[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterat
             yield b.slice(i, j - i)
 
 
+def released() -> None:
+    """Gives memory that is free in this process back to the system: what a training has used would else stay with the driver."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    # The C library's heap, where there is such a function.
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def arrow_schema(schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 

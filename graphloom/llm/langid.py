@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import sampling, subword
-from .common import by_arrow, col, cut, fresh, lists, slices, through, unlisted
+from .common import by_arrow, col, cut, fresh, lists, released, slices, through, unlisted
 
 SIZES, BUCKETS, DIM, EPOCHS, RATE, SEED = (1, 2, 3, 4), 1 << 14, 16, 6, 0.5, 11
 #: Rows to learn from, at most, shared equally among the languages, but FLOOR of each; the bytes of their texts, likewise;
@@ -89,6 +89,14 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         return [lang, at, lists([ids for ids, _ in found]), lists([n for _, n in found])]
 
     got = sampling.taken(good, drawn, "string", bag, "label string, at long, ids array<int>, counts array<int>", id_col, text_col)
+    model = fit(got)
+    del got
+    released()
+    return model
+
+
+def fit(got: pa.Table) -> Model:
+    """The model from drawn rows (label, at, ids, counts)."""
     langs = tuple(sorted(set(got["label"].to_pylist())))
     place = {x: k for k, x in enumerate(langs)}
     labels = np.array([place[x] for x in got["label"].to_pylist()], np.int64)
@@ -140,8 +148,8 @@ def _without(seen: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> float:
 
 def _coarse(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The same bag by BUCKETS, which are the low bits of KNOWN."""
-    out, at = np.unique(ids.astype(np.int64) & BUCKETS - 1, return_inverse=True)
-    return out, np.bincount(at, counts, len(out))
+    out, at = np.unique(ids & BUCKETS - 1, return_inverse=True)
+    return out, np.bincount(at, counts, len(out)).astype(np.float32)
 
 
 def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:

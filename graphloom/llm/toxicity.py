@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sampling, subword
-from .common import by_arrow, col, cut, lists, slices, unlisted
+from .common import by_arrow, col, cut, lists, released, slices, unlisted
 
 SIZES, BUCKETS, DIM, EPOCHS, RATE, SEED = (3, 4, 5), 1 << 17, 8, 14, 0.6, 12
 #: Words of a window; windows begin every half of it.
@@ -138,6 +138,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return [pa.array(label, pa.int32()), at, lists(ids), lists(heard), lists(sizes)]
 
     got = sampling.taken(good, sampling.draw(pool, sample, SAMPLE_BYTES), "int", bag, "label int, at long, ids array<int>, heard array<int>, sizes array<int>", id_col, text_col)
+    model = fit(got, counts, none)
+    del got
+    released()
+    return model
+
+
+def fit(got: pa.Table, counts: dict[int, int], none: Model, start: bool = True) -> Model:
+    """The model from drawn rows (label, ids, heard, sizes) and the number of all rows of each label; `none` if both labels aren't there. start: see train."""
     labels = np.array(got["label"].to_pylist())
     ids = [a for c in got["ids"].chunks for a in unlisted(c)]
     # Where each word's subwords end among those that are heard, and among all.
@@ -149,7 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return none
     model, rng = subword.Embeddings(BUCKETS, 2, DIM, SEED), np.random.default_rng(SEED)
 
-    _start(model, [ids[k] for k in learn], labels[learn])
+    if start:
+        _start(model, [ids[k] for k in learn], labels[learn])
 
     def tops(k: int, table: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
         spans = windows(len(ends[k]) - 1)
