@@ -24,10 +24,14 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def sampled(rows: DataFrame, total: int, most: int) -> list[tuple]:
-    """About `most` keys, each row drawn with a chance in proportion to its size, by a number that hashes its key."""
+def sampled(rows: DataFrame, rate: Column | float) -> DataFrame:
+    """Keys, each row drawn with a chance of its size times the rate, by a number that hashes its key."""
     draw = F.pmod(F.xxhash64("hi", "lo", "doc_id", "row"), F.lit(1 << 53)).cast("double") / float(1 << 53)
-    return [tuple(r) for r in rows.where(draw < F.col("size") * F.lit(most / max(total, 1))).select("hi", "lo", F.coalesce("doc_id", F.lit(-(2**63))), "row").collect()]
+    return rows.where(draw < F.col("size") * rate).withColumn("id", F.coalesce("doc_id", F.lit(-(2**63))))
+
+
+def tuples(keys: DataFrame) -> list[tuple]:
+    return [tuple(r) for r in keys.select("hi", "lo", "id", "row").collect()]
 
 
 def quantiles(keys: list[tuple], ranges: int) -> list[tuple]:
@@ -62,7 +66,8 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     Records have a key, (hash of the text, id, row), and a size. Keys are drawn with a chance in proportion to the
     size, quantiles of the sample are the splitters, and records go to the ranges between them. The bytes and rows of
     each range are counted over all records; a range with more than OVERFULL times the mean is subdivided by splitters
-    from a further sample of it, until none is or the keys end. As a key goes on to the id and the row, the copies of
+    from a further sample of it, until none is, the keys end, or after ROUNDS rounds, which bounds the passes; what is
+    overfull then stays so, with right results from a longer task. As a key goes on to the id and the row, the copies of
     a hot text, even repeated rows, are cut up like any others. Then each record's place among all bytes is known from
     its range's start and its place in the range, and a record belongs to the shard in which its middle byte lies: the
     sizes of two shards differ by less than twice the largest record. Slots count a shard's records from 0.
@@ -73,14 +78,19 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     """
     rows = cut(keyed(docs, id_col, text_col))
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    splitters = quantiles(sampled(rows, total, ranges * samples), ranges)
+    splitters = quantiles(tuples(sampled(rows, F.lit(ranges * samples / max(total, 1)))), ranges)
     for _ in range(ROUNDS):
         placed = place(rows, splitters)
         held = {r["range"]: r for r in placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()}
         overfull = {k: r for k, r in held.items() if r["bytes"] > OVERFULL * total / ranges and r["rows"] > 1}
-        more: set[tuple] = set()
-        for k, r in overfull.items():
-            more |= set(quantiles(sampled(placed.where(F.col("range") == k), r["bytes"], samples * 64), int(r["bytes"] * ranges / total) + 2))
+        if not overfull:
+            break
+        # A pass draws from all of them; there are ranges / OVERFULL at most.
+        rate = F.element_at(F.array(*(F.lit(samples * 64 / overfull[k]["bytes"] if k in overfull else 0.0) for k in range(len(splitters) + 1))), F.col("range") + 1)
+        drawn: dict[int, list[tuple]] = {}
+        for k, *key in sampled(placed, rate).select("range", "hi", "lo", "id", "row").collect():
+            drawn.setdefault(k, []).append(tuple(key))
+        more = {cut for k, keys in drawn.items() for cut in quantiles(keys, int(overfull[k]["bytes"] * ranges / total) + 2)}
         if not more - set(splitters):
             break
         splitters = sorted(set(splitters) | more)

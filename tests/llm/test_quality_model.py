@@ -63,6 +63,26 @@ def test_characters_stay_apart():
     assert table.max() <= 1024
 
 
+@pytest.mark.parametrize("words", ["ба да га ла ма на", "漢字 亂中 有序 人人 生而 自由"])
+def test_shuffled_letters_of_any_script_are_less_likely(spark, words):
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices(words.split(), k=rng.randint(1, 3))) for _ in range(80)) for _ in range(60)]
+    shuffled = ["".join(rng.sample(t, len(t))) for t in texts[:6]]
+    docs = spark.createDataFrame(list(enumerate(texts + shuffled)), "doc_id long, text string").selectExpr("*", "'x' AS lang")
+    got = {r.doc_id: r.log_ppl for r in quality.measured(docs).collect()}
+    assert all(got[60 + i] > got[i] + 0.2 for i in range(6))
+    spelling = quality.Spelling(quality.characters(docs))
+    assert len({int(spelling.table[ord(c), 0]) for c in words if c != " "}) == len(set(words) - {" "})
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(9)
+    long = " ".join("".join(rng.choices("ба да la lo".split(), k=3)) for _ in range(60_000))
+    docs = spark.createDataFrame([(1, long), (2, long[:300]), (3, None)], "doc_id long, text string").selectExpr("*", "'x' AS lang")
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert got[1].n_words == 60_000 and got[3].n_words == 0 and got[3].base_failed
+
+
 def test_model_grows_and_sees_letters(spark):
     rng = random.Random(4)
     word = lambda s: "".join(rng.choices(s, k=rng.randint(1, 4)))
