@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages, each over all that the one before it kept."""
+"""The corpus pipeline: five stages, each over all that the one before it kept.
+
+Every stage takes whole texts of any length, and tables without rows, which stay so. Columns besides those of documents
+may have any names and types; they stay as they are in all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +13,33 @@ from graphloom.plans.store import clear, settled
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows: those it rejects go. It learns from the labelled documents themselves."""
+    """Documents in a language that the model knows: those it rejects go. It learns from the labelled documents themselves.
+
+    Null and empty texts, and those without a letter, are rejected. Repeated rows are judged alike, each by itself.
+    """
     return langid.accepted(docs, queries.language_model(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id."""
+    """One document of each group of near copies: that with the smallest id, null ids last.
+
+    Ties of one id go to the smallest hash of the text, then of the whole row; of rows alike in every column one stays.
+    """
     return simhash.deduplicated(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with pseudonyms in place of personal data. Texts keep their lengths, so n_chars stays right."""
+    """All documents, with pseudonyms in place of personal data. Texts keep their lengths, so n_chars stays right. Null and empty texts stay as they are."""
     return pii.pseudonymise(docs, pii.secret_of(spark))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, none to twice."""
+    """Documents as often as the mix takes them, none to twice. Null sources are one source; null ids stand first among equal sizes; repeated rows have copies each."""
     return mixing.mix(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """For each document that the mix has, as often as it has it: its id, its number of tokens and digests of ids and text."""
+    """For each document that the mix has, as often as it has it: its id, its number of tokens and digests of ids and text. A null text counts as empty."""
     return queries.encoded(docs)
 
 
