@@ -110,7 +110,10 @@ def through(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]]) -> Da
 
 
 def bounded(spark: SparkSession) -> None:
-    """Bounds the bytes of the Arrow batches that this session sends to Python, unless they are bounded closer already."""
+    """Bounds the bytes of the Arrow batches that this session sends to Python, unless they are bounded closer already.
+
+    The setting stays for the session, as what is returned runs later.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if _bytes(spark.conf.get(key, "2147483647")) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))

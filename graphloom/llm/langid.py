@@ -45,7 +45,7 @@ class Model:
     limit: np.ndarray
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(language, score, rejected) of each whole text. A text without a letter is UNKNOWN, with score 0, and rejected."""
+        """(language, score, rejected) of each whole text. A text without a letter is UNKNOWN, with score 0, and rejected; of equal scores the first language counts."""
         langs, scores, rejected = [], [], []
         for i, j in slices([len(t or "") for t in texts], _TOGETHER):
             points = subword.Points(texts[i:j], subword.letters())

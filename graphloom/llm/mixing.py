@@ -26,7 +26,8 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ca
 
     The sources share `share` times all sizes by weight, none above `cap` times its own. Reshared excess ends where
     every source below its cap has the same level (target / weight), so sources meet their caps in the order of
-    cap / weight, and the first that doesn't gives the level. One row a source: windows over them stay small.
+    cap / weight, and the first that doesn't gives the level. The order is over all sources, so one task holds a row
+    for each: some millions of them are fine.
     """
     everything = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), ((F.row_number().over(everything) - 1) % len(weights) + 1).cast("int"))
