@@ -110,7 +110,8 @@ def links(fps: DataFrame, bits: int = BITS, blocks: int = BLOCKS, tile: int = TI
     each = F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("value")) for i, m in enumerate(keys))))
     spread = fps.select("fp", each.alias("k")).select("fp", "k.mask", "k.value")
     sizes = spread.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1")
-    grouped = spread.join(sizes, ["mask", "value"]).withColumn("tiles", F.ceil(F.col("n") / F.lit(tile)).cast("int"))
+    # Merged always: Spark takes spread, of one row a mask, for as small as fps, and would broadcast many times what it allows.
+    grouped = spread.hint("merge").join(sizes, ["mask", "value"]).withColumn("tiles", F.ceil(F.col("n") / F.lit(tile)).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
     tiled = grouped.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select("mask", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")

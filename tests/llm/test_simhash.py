@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import simhash
 from graphloom.operators import components
+from graphloom.plans import store
 
 
 def plain(text, words=4):
@@ -67,6 +68,13 @@ def test_links_connect_all_close_pairs(spark, tile, blocks):
     assert len({got.get(f, f"alone {f}") for f in fps}) == len(same)
 
 
+def test_rows_of_all_masks_are_not_broadcast(spark):
+    nodes = store.stored(spark.createDataFrame([(i * 7919,) for i in range(-50, 50)], "fp long"))
+    # The table itself is far below what Spark broadcasts by itself; its rows under all masks are 35 times as many.
+    plan = simhash.links(nodes)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_long_chain_is_one_component(spark):
     rng = random.Random(5)
     names = rng.sample(range(10**6), 300)
