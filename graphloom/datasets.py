@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .plans.graph import Graph
-from .plans.store import stored
+from .plans.store import freed, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def copurchase(spark: SparkSession, sf_dir: str) -> Graph:
     """Parts in one order, the smaller to the larger id."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    a, b = lines.withColumnRenamed("l_partkey", "src"), lines.withColumnRenamed("l_partkey", "dst")
+    lines = table(spark, sf_dir, "lineitem").where("l_orderkey is not null")
+    # One shuffle brings an order's parts together, as a list that is no longer than the vertices.
+    orders = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("parts"))
+    firsts = orders.select("parts", F.posexplode("parts").alias("at", "src"))
+    pairs = firsts.select("src", F.explode(F.slice("parts", F.col("at") + 2, F.size("parts"))).alias("dst"))
     # Stored, as the largest id and the algorithms read them apart.
-    return Graph.from_edges(stored(a.join(b, "l_orderkey").where("src < dst").select("src", "dst").distinct()))
+    with freed(spark):
+        return Graph.from_edges(stored(pairs.distinct()))
 
 
 def customer_supplier(spark: SparkSession, sf_dir: str) -> Graph:

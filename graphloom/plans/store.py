@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,18 @@ def clear(spark: SparkSession, paths: list[str] | None = None) -> None:
             _written.remove(name)
 
 
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files: Spark deletes those of a query when it ends, not when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df computed once and read back from a table, which cuts lineage, survives lost executors, and keeps plans small."""
     path = folder(df.sparkSession, "tables")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import datasets
 from graphloom.functions import hashing
 from graphloom.operators import components, learn, pagerank, partition, privacy, scheduler, simulate, sketch, traversal, triangles, verify
 from graphloom.plans.graph import Graph
@@ -319,3 +320,27 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     want = sketch.build_edge_sketch(Graph(spark.range(10), spark.read.parquet(str(tmp_path / "in")).where("src >= 0")))
     assert sorted(map(tuple, spark.table("cms").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_triangles_in_buckets(spark):
+    rng = random.Random(31)
+    n, e = 40, [(0, v) for v in range(1, 40)]
+    e += [(rng.randrange(n), rng.randrange(n)) for _ in range(300)] * 2 + [(7, 7)]
+    g = Graph.from_edges(spark.createDataFrame(e, "src long, dst long"))
+    both, once = {(min(p), max(p)) for p in e if p[0] != p[1]}, Counter(p for p in e if p[0] < p[1])
+    simple = sum({(a, b), (b, c), (a, c)} <= both for c in range(n) for b in range(c) for a in range(b))
+    stored = sum(m * min(once[u, w], once[v, w]) for (u, v), m in once.items() for w in range(v + 1, n))
+    for bucket in (1 << 20, 40):
+        found = triangles.triangle_count(g, canonicalize=True, bucket=bucket)
+        assert found.first()[0] == simple and triangles.triangle_count(g, bucket=bucket).first()[0] == stored
+        # No pair of edges goes through a shuffle: a join of them is what filled the disks.
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    none = Graph.from_edges(spark.createDataFrame([(3, 3), (4, 2)], "src long, dst long"))
+    assert triangles.triangle_count(none).first()[0] == triangles.triangle_count(none, canonicalize=True).first()[0] == 0
+
+
+def test_copurchase_of_odd_rows(spark, tmp_path):
+    rows = [(1, 5), (1, 3), (1, 5), (1, None), (None, 3), (None, 9), (2, 3), (2, 5), (2, 4), (3, 8), (4, None)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    g = datasets.copurchase(spark, str(tmp_path))
+    assert sorted((r.src, r.dst) for r in g.edges.collect()) == [(3, 4), (3, 5), (4, 5)] and g.num_vertices() == 6
