@@ -75,6 +75,18 @@ def test_rows_of_all_masks_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_whole_query_merges_masks(spark, tmp_path):
+    """What op3 writes on its way, at Spark's own threshold for broadcasts: the join of masks is merged as it runs, not only as planned."""
+    docs = spark.createDataFrame([(i, f"some words of number {i // 2} and more of {i // 2}") for i in range(40)], "doc_id long, text string")
+    nodes = store.stored(simhash.fingerprints(docs).select("fp").distinct())
+    ran = simhash.links(nodes)
+    ran.write.parquet(str(tmp_path / "links"))
+    assert ran.count() == spark.read.parquet(str(tmp_path / "links")).count()
+    ran.collect()
+    assert "BroadcastHashJoin" not in ran._jdf.queryExecution().executedPlan().toString()
+    assert len({r.component_id for r in simhash.near_duplicates(docs).collect()}) <= 20
+
+
 def test_long_chain_is_one_component(spark):
     rng = random.Random(5)
     names = rng.sample(range(10**6), 300)
